@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import simhash
+from marlstone.llm import packing, simhash, suffix_dedup
 from marlstone.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_suffix_dedup": lambda spark, d: suffix_dedup.op6_suffix_dedup(table(spark, d, "documents")),
         "op8_simhash_near_duplicates": lambda spark, d: simhash.op8_simhash(table(spark, d, "documents")),
+        "op9_vector_bin_packing": lambda spark, d: packing.op9_packing(table(spark, d, "documents")),
     }
 
 
