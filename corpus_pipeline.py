@@ -32,10 +32,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's target takes: none, one or two rows."""
-    inside = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
-    mixed = mixing.mix(inside, "in_doc_id", "in_source", "in_text", keep=inside.columns)
-    copied = mixed.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))))
-    return copied.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

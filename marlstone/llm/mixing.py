@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +70,16 @@ def _round(state: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17, worth: Column | None = None, rounds: int = 4, hot_rows: int = HOT_ROWS, keep: Sequence[str] = ()
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17, worth: Column | None = None, rounds: int = 4, hot_rows: int = HOT_ROWS, row: Column | None = None
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken, then the columns in keep.
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken and, where it is given, row.
 
     Null texts have size 0, and documents without words are never drawn. A null source is a source of its own. Rows that
     repeat are drawn each for itself. worth: a positive weight of a document, that its inclusion probability follows
     (null or none: 1). No document has more than most copies. The draw hangs on ids and seed, not on the order of rows.
     """
     marked = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), F.coalesce(worth if worth is not None else F.lit(1.0), F.lit(1.0)).cast("double").alias("worth"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("kept")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), F.coalesce(worth if worth is not None else F.lit(1.0), F.lit(1.0)).cast("double").alias("worth"), (F.lit(None).cast("string") if row is None else row).alias("row")
     )
     marked = marked.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("tie", F.xxhash64("key", "size", "worth"))
     marked = materialise(marked, "mix-sizes")
@@ -97,7 +98,24 @@ def mix(
     for _ in range(rounds):
         state = _round(state, hot_rows)
     n = F.col("base") + F.when(F.col("drawn"), 1).otherwise(0)
-    return state.select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken"), *[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)])
+    return state.select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("copies"), (n * F.col("size")).cast("long").alias("taken"), *([] if row is None else ["row"]))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs that the mix takes, each as many times as it is taken, with docs' columns.
+
+    Rows are told apart by their file and place in it, so docs must be a table's scan; anything else is written first. Of the
+    text, one shuffle moves all of it, at every size: what is taken has no bound that would let it be broadcast.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    try:
+        docs.select(place)
+    except AnalysisException:
+        docs = materialise(docs, "mix-docs")
+    mixed = mix(docs, id_col, source_col, text_col, row=place, **options).filter("copies > 0").select(F.col("row.f").alias("_f"), F.col("row.i").alias("_i"), F.col("copies").alias("_copies"))
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    met = placed.join(mixed, ["_f", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return met.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def op3_pareto_mixing(docs: DataFrame) -> DataFrame:
