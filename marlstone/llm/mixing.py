@@ -114,7 +114,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         docs = materialise(docs, "mix-docs")
     mixed = mix(docs, id_col, source_col, text_col, row=place, **options).filter("copies > 0").select(F.col("row.f").alias("_f"), F.col("row.i").alias("_i"), F.col("copies").alias("_copies"))
     placed = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    met = placed.join(mixed, ["_f", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    met = placed.join(mixed.hint("merge"), ["_f", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return met.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
