@@ -4,7 +4,7 @@ The parser's events become lines: one for each block element, with its text, the
 it. Lines inside navigation, headers, footers, asides, forms, scripts, notices, adverts and comments are set aside. Over
 the rest, the ratio of text to tags of each line is smoothed with a Gaussian, and lines above a threshold (the standard
 deviation of the smoothed ratios) form clusters. The clusters' text chooses the content region: the article or main
-element that holds most of it or, where there is none, the deepest element that holds nearly all. Every remaining line of
+element that holds most of it or, where there is none, the deepest holder of blocks that has nearly all. Every remaining line of
 the region is content, so that short paragraphs and headings between long ones are never lost.
 """
 
@@ -23,6 +23,7 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video menu dialog title option label input".split())
 _REGION = frozenset(("article", "main"))
+_HOLDERS = frozenset("article body center dd details div fieldset html main section table tbody td tr".split())
 _CLOSES_P = _BLOCKS - {"html", "body", "option", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd", ("dl",)), "dt": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|masthead|footer|sidebar|side|aside|related|widget|comment|comments|disqus|replies|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|share|sharing|social|pagination|pager|login|signup|search|skip)(?:$|[\s_-])", re.I)
@@ -147,7 +148,7 @@ def extract(html: str | None, radius: int = 1, share: float = 0.9) -> str:
     if regions:
         chosen = {n for n, size in regions.items() if 2 * size >= max(regions.values())}
     else:
-        chosen = {max((n for n, size in inside.items() if size >= share * total), default=0)}
+        chosen = {max((n for n, size in inside.items() if size >= share * total and parser.tag_of[n] in _HOLDERS), default=0)}
     if chosen == {0}:
         return "\n".join(text for text, _, _ in lines)
     return "\n".join(text for text, _, path in lines if not chosen.isdisjoint(path))
