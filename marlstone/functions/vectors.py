@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +75,37 @@ def hashed_entries(texts: DataFrame, key: str, text: str, dimension: int = 256,
     return summed.join(size, key).select(key, "bucket", (F.col("value") / F.col("_size")).alias("value"))
 
 
+def hashed_vector(text: Column, dimension: int = 256, trigrams: bool = True) -> Column:
+    """The hashed and normalised vector of each text: one pass without a shuffle. A feature is hashed once in a worker, then looked up; a text without features has zeros."""
+    if dimension < 8:
+        raise ValueError("dimension must be at least 8")
+    pattern = re.compile("[a-z0-9]+")
+
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def places(token: str) -> tuple[np.ndarray, np.ndarray]:
+            marked = f"^{token}$"
+            feats = [token, *(marked[i : i + 3] for i in range(len(marked) - 2))] if trigrams else [token]
+            at = [int(md5(f.encode()).hexdigest()[:8], 16) % dimension for f in feats]
+            way = [1.0 if int(md5(b"s|" + f.encode()).hexdigest()[:8], 16) % 2 == 0 else -1.0 for f in feats]
+            return np.array(at), np.array(way)
+
+        out = []
+        for text in texts:
+            v = np.zeros(dimension)
+            for token, n in Counter(pattern.findall((text or "").lower())).items():
+                if token not in known:
+                    known[token] = places(token)
+                at, way = known[token]
+                np.add.at(v, at, way * n)
+            size = np.sqrt(np.sum(v * v))
+            out.append(v / size if size else v)
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(text)
+
+
 def hashed_embed(texts: DataFrame, key: str, text: str, dimension: int = 256, trigrams: bool = True) -> DataFrame:
-    """(key, model_version, vector): dense vectors; a text without features has zeros."""
-    entries = hashed_entries(texts, key, text, dimension, trigrams).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))  # at most `dimension` entries each
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return texts.select(key).join(entries, key, "left").select(key, F.lit(model_version(dimension, trigrams)).alias("model_version"), F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dimension)).otherwise(dense).alias("vector"))
+    """(key, model_version, vector)."""
+    return texts.select(key, F.lit(model_version(dimension, trigrams)).alias("model_version"), hashed_vector(F.col(text), dimension, trigrams).alias("vector"))
