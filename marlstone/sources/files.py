@@ -25,7 +25,7 @@ class Limits:
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of a folder's files. content is read only where a plan uses it."""
+    """(path, modificationTime, length, content) of a folder's files. content is read only where a plan uses it. Files of no bytes are not listed by the engine's scan."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 

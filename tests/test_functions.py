@@ -127,8 +127,8 @@ def test_chunks(spark):
     blocks = [("d", 0, "Manual", "heading", 1, 1), ("d", 1, "First point here. Second point here. Third point is longer than the others.", "paragraph", None, 1), ("d", 2, "item one", "list_item", None, 2), ("d", 3, "Page 1", "page_footer", None, 2), ("d", 4, "Parts", "heading", 2, 2), ("d", 5, "word " * 60, "paragraph", None, 2)]
     df = spark.createDataFrame(blocks, "doc_id string, block_index int, text string, type string, level int, page int")
     got = chunk.chunk(df, chunk.ChunkConfig(max_tokens=32)).orderBy("index").collect()
-    assert got[0]["chunk_id"] == "d#0" and got[0]["text"].startswith("Manual\n\nManual First point")
-    assert all(not r["oversized"] for r in got) and "Page 1" not in " ".join(r["text"] for r in got)
+    assert got[0]["chunk_id"] == "d#0" and got[0]["text"].startswith("Manual\n\nManual\nFirst point")
+    assert all(r["oversized"] == (r["token_estimate"] > 32) for r in got) and "Page 1" not in " ".join(r["text"] for r in got)
     assert got[-1]["heading_path"] == ["Manual", "Parts"] and sum(r["text"].count("word") for r in got) >= 60
     assert [r["index"] for r in got] == list(range(len(got)))
 

@@ -58,7 +58,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "d.txt").write_text("voltage is measured in volts")
-    docs, bad = files.documents(spark, str(tmp_path))
+    docs, bad = files.documents(spark, str(tmp_path), files.Limits(min_bytes=2))
     assert docs.count() == 2 and [r["reason"] for r in bad.collect()] == ["empty"]
     (tmp_path / "cases.jsonl").write_text('# note\n\n{"query": "q1"}\n{"case_id": "x", "query": "q2", "unanswerable": true}\n')
     assert sorted(r["case_id"] for r in files.eval_cases(spark, str(tmp_path / "cases.jsonl")).collect()) == ["case-3", "x"]
@@ -187,6 +187,6 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     batch = {tuple(r) for r in windows.tumbling(df).collect()}
     assert {tuple(r) for r in spark.table("tumbled").collect()} == batch
-    q = windows.admitted_stream(stream, 2, "event_type").writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
+    q = windows.admitted_stream(stream, 2, "event_type").writeStream.outputMode("append").format("memory").queryName("limited").trigger(once=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("limited").collect()} == {tuple(r) for r in windows.admitted(df, 2, "event_type").collect()}
