@@ -22,9 +22,9 @@ _I = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run under 20 characters fails wherever it is entered
 HEX = re.compile(r"[0-9a-f]{24,}")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")  # with or without a key and '=' before it; never the key itself
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.@-])(?:[a-z0-9-]+\.)+(?:amazonaws\.com|windows\.net|googleapis\.com|internal)(?![A-Za-z0-9-])""", re.ASCII)
-IDENTITY = re.compile(r"""(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", _I)
+IDENTITY = re.compile(r"""(?:user(?:name)?|login|account(?:_?name)?|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", _I)
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint", "identity")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
