@@ -2,9 +2,9 @@
 
 Strong finds stand alone: assigned values, access identifiers and long hexadecimal strings. Weak candidates (values that
 look like secret keys, endpoints and account names) are too common to report alone. They are linked by an interval join
-inside a scope (a stretch between blank lines): a secret needs an identifier within a radius, an endpoint or an account
-name needs both complementary parts. Parts and neighbours are sorted by start, so the join is two binary searches for
-each candidate and never lists the pairs of a scope.
+inside a scope (a stretch between blank lines): a secret needs an identifier, an endpoint or an account name needs both
+complementary parts. A radius can narrow the scope; the registered queries set none. Parts and neighbours are sorted by
+start, so the join is a binary search for each candidate and never lists the pairs of a scope.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,8 +52,16 @@ def _mixed(value: str) -> bool:
     return any(c.isupper() for c in value) and any(c.islower() for c in value) and any(c.isdigit() for c in value)
 
 
-def _near(span: Span, sorted_starts: list[int], parts: list[Span], radius: int, low: int, high: int) -> bool:
-    """Whether one of the parts (sorted by start, no overlaps within) begins or ends within radius, inside the scope."""
+def _near(span: Span, sorted_starts: list[int], parts: list[Span], radius: int | None, low: int, high: int) -> bool:
+    """Whether one of the parts (sorted by start) lies inside the scope, beside the span; with a radius, begins or ends within it."""
+    if radius is None:  # ends at the first part that doesn't overlap the span
+        for i in range(bisect_left(sorted_starts, low), len(parts)):
+            start, _, end = parts[i]
+            if start >= high:
+                break
+            if end <= high and not (start < span[2] and span[0] < end):
+                return True
+        return False
     k = bisect_left(sorted_starts, span[0] - radius)
     for i in range(max(0, k - 1), len(parts)):
         start, _, end = parts[i]
@@ -64,8 +72,8 @@ def _near(span: Span, sorted_starts: list[int], parts: list[Span], radius: int,
     return False
 
 
-def linked_spans(text: str, base: list[Span], radius: int = RADIUS) -> list[Span]:
-    """Weak candidates whose complementary parts occur beside them in their scope."""
+def linked_spans(text: str, base: list[Span], radius: int | None = RADIUS) -> list[Span]:
+    """Weak candidates whose complementary parts occur beside them in their scope, at any distance if radius is None."""
     access = [s for s in base if s[1] == 1]
     low = text.lower()
     names = [(m.start(), 5, m.end()) for m in IDENTITY.finditer(text)] if any(k in low for k in ("user", "login", "account", "client")) else []
@@ -87,18 +95,20 @@ def linked_spans(text: str, base: list[Span], radius: int = RADIUS) -> list[Span
         k = bisect_left(breaks, s[0])
         return (breaks[k - 1] if k else 0), (breaks[k] if k < len(breaks) else len(text))
 
-    def beside(s: Span, parts: list[Span]) -> bool:
-        return _near(s, [p[0] for p in parts], parts, radius, *scope(s)) if parts else False
+    def beside(parts: list[Span]) -> Callable[[Span], bool]:
+        at = [p[0] for p in parts]
+        return lambda s: _near(s, at, parts, radius, *scope(s))
 
-    who = sorted(access + names)
-    found = [s for s in secrets if beside(s, who)]
-    values = sorted(found + [s for s in base if s[1] in (0, 2)])
-    found += [s for s in points if beside(s, who) and beside(s, values)]
-    found += [s for s in names if beside(s, values) and beside(s, points)]
+    by_who = beside(sorted(access + names))
+    found = [s for s in secrets if by_who(s)]
+    by_value = beside(sorted(found + [s for s in base if s[1] in (0, 2)]))
+    by_point = beside(points)
+    found += [s for s in points if by_who(s) and by_value(s)]
+    found += [s for s in names if by_value(s) and by_point(s)]
     return found
 
 
-def scan(text: str | None, radius: int = RADIUS) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, radius: int | None = RADIUS) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each sorted by start and then by kind; none in a null text."""
     base = base_spans(text or "")
     return base, sorted(base + linked_spans(text or "", base, radius))
@@ -108,7 +118,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def redact(text: str | None, radius: int = RADIUS) -> str | None:
+def redact(text: str | None, radius: int | None = RADIUS) -> str | None:
     """The text with each run of found spans replaced by a mark; the same object where nothing is found."""
     spans = scan(text, radius)[1]
     if not spans:
@@ -121,7 +131,7 @@ def redact(text: str | None, radius: int = RADIUS) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = RADIUS) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Null and empty texts have no spans (and the hash of nothing). Repeated rows and null ids keep their rows. Other
@@ -144,7 +154,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
-def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", radius: int = RADIUS) -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", radius: int | None = RADIUS) -> DataFrame:
     """docs, row by row, with found secrets masked in the text; length_col, if docs has it, follows a changed text."""
     names = docs.columns
     at, size = names.index(text_col), names.index(length_col) if length_col in names else None
@@ -163,4 +173,4 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
 
 
 def op5_secret_scan(docs: DataFrame) -> DataFrame:
-    return find(docs)
+    return find(docs, radius=None)

@@ -273,6 +273,41 @@ def test_secret_values_of_any_form():
     assert found(f"KEY={SECRET}") == []
 
 
+def test_secret_links_at_any_distance(spark):
+    import corpus_pipeline
+
+    fill = " x\n" * 2000
+    far = f"{KEY}{fill}{SECRET}{fill}at https://a.example/x"
+    text = f"{far}\n\n{SECRET}\n \t\n{fill}login: someone{fill}https://b.example/?key={SECRET}&x={SECRET}{fill}"
+    data = [(1, far, len(far)), (2, text, len(text)), (3, f"{KEY}\n\n{SECRET}", 63)]
+    table = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in secrets.op5_secret_scan(table).collect()}
+    assert [s.split(":")[0] for s in got[1]["spans"].split(",")] == ["access", "secret", "endpoint"] and got[1]["n_linked"] == 2
+    assert [s.split(":")[0] for s in got[2]["spans"].split(",")] == ["access", "secret", "endpoint", "identity", "secret", "secret"] and got[3]["n_linked"] == 0
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_scan(spark, table, "").collect()}
+    assert masked[1] == f"[secret]{fill}[secret]{fill}at [secret]" and masked[3] == f"[secret]\n\n{SECRET}"
+    assert masked[2].count(SECRET) == 1
+
+
+def test_secret_links_against_all_pairs():
+    rng = random.Random(3)
+    parts = [KEY, SECRET, "login: bob", "https://a.example/x", "https://a.example/?k=" + SECRET, "token = " + "f" * 30, "f" * 24, " ", " ", "\n", "\n\n", "\n \n", "KEY=" + SECRET, "é x"]
+    for _ in range(3000):
+        text = " ".join(rng.choices(parts, k=rng.randrange(14)))
+        base, every = secrets.scan(text, None)
+        weak = [(m.start(), k, m.end()) for k, p in ((3, secrets.SECRET), (4, secrets.ENDPOINT), (5, secrets.IDENTITY)) for m in p.finditer(text)]
+        weak = [s for s in weak if all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+        cuts = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+        same = lambda s, t: sum(c <= s[0] for c in cuts) == sum(c <= t[0] for c in cuts) and (s[2] <= t[0] or t[2] <= s[0])
+        near = lambda s, other: any(same(s, t) for t in other)
+        who = [s for s in base if s[1] == 1] + [s for s in weak if s[1] == 5]
+        secret = [s for s in weak if s[1] == 3 and secrets._mixed(text[s[0] : s[2]]) and near(s, who)]
+        values = secret + [s for s in base if s[1] in (0, 2)]
+        points = [s for s in weak if s[1] == 4]
+        want = secret + [s for s in points if near(s, who) and near(s, values)] + [s for s in weak if s[1] == 5 and near(s, values) and near(s, points)]
+        assert every == sorted(base + want), text
+
+
 # 6
 
 
