@@ -1,11 +1,12 @@
 """Main text of web pages from a streaming parser's events.
 
 The parser's events become lines: one for each block element, with its text, the tags that met it, and the elements around
-it. Lines inside navigation, headers, footers, asides, forms, scripts, notices, adverts and comments are set aside. Over
-the rest, the ratio of text to tags of each line is smoothed with a Gaussian, and lines above a threshold (the standard
-deviation of the smoothed ratios) form clusters. The clusters' text chooses the content region: the article or main
-element that holds most of it or, where there is none, the deepest holder of blocks that has nearly all. Every remaining line of
-the region is content, so that short paragraphs and headings between long ones are never lost.
+it. Lines inside navigation, headers, footers, asides, forms, scripts, notices, adverts and comments are set aside. The
+content region is every article and main element, of any size, but teasers of other pages or, where there is none, all
+that holds a remaining line. Every remaining line of the region is content, so that short paragraphs, headings and lists
+are never lost. An article is a teaser if its class says so. So is one beside an article of the page's own whose heading
+links elsewhere and that has no line of text proper: the ratio of text to tags of each line is smoothed with a Gaussian, and
+lines above a threshold (the standard deviation of the smoothed ratios) form the clusters of text.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video menu dialog title option label input".split())
 _REGION = frozenset(("article", "main"))
-_HOLDERS = frozenset("article body center dd details div fieldset html main section table tbody td tr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = _BLOCKS - {"html", "body", "option", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd", ("dl",)), "dt": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",)), "option": ("option", ("select",))}
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|masthead|footer|sidebar|side|aside|related|widget|comment|comments|disqus|replies|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|share|sharing|social|pagination|pager|login|signup|search|skip)(?:$|[\s_-])", re.I)
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replies)(?:$|[\s_-])", re.I)
+_TEASER = re.compile(r"(?:^|\s)(?:(?:article|post|story|news|node)(?:--view-mode)?[_-]+)?teasers?(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -38,6 +40,9 @@ class _Lines(HTMLParser):
         self.made = 0
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.tag_of: dict[int, str] = {}
+        self.link = 0  # the last link to another page
+        self.teasers: set[int] = set()  # articles named so
+        self.headed: set[int] = set()  # articles whose heading is such a link
         self.text: list[str] = []
         self.tags = 0
 
@@ -76,6 +81,11 @@ class _Lines(HTMLParser):
         self.made += 1
         self.tag_of[self.made] = tag
         self.stack.append((tag, self.made, out))
+        if attrs and tag == "a":
+            if (dict(attrs).get("href") or "#")[0] != "#":
+                self.link = self.made
+        elif attrs and tag == "article" and _TEASER.search(dict(attrs).get("class") or ""):
+            self.teasers.add(self.made)
 
     def _marked(self, tag: str, given: dict[str, str | None]) -> bool:
         if tag in ("html", "body"):
@@ -107,8 +117,16 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack or not self.stack[-1][2]:
+            if self.link:
+                self._headed(data)
             self.text.append(data)
 
+    def _headed(self, data: str) -> None:
+        if all(n != self.link for _, n, _ in self.stack):
+            self.link = 0
+        elif data.strip() and any(t in _HEADINGS for t, _, _ in self.stack) and not any(t.strip() for t in self.text):
+            self.headed.update([n for t, n, _ in self.stack if t == "article"][-1:])
+
 
 def _smooth(values: list[float], radius: int) -> list[float]:
     weights = [math.exp(-(k * k) / (2.0 * radius * radius)) for k in range(-2 * radius, 2 * radius + 1)]
@@ -122,7 +140,18 @@ def _smooth(values: list[float], radius: int) -> list[float]:
     return out
 
 
-def extract(html: str | None, radius: int = 1, share: float = 0.9) -> str:
+def _teasers(parser: _Lines, regions: set[int], radius: int) -> set[int]:
+    """Regions that only point to other pages: named so or, beside a region that is neither, headed by a link and without a line in a cluster."""
+    doubtful = (regions & parser.headed) - parser.teasers
+    if not doubtful or regions <= parser.teasers | doubtful:
+        return parser.teasers
+    ratios = _smooth([len(text) / max(1, tags) for text, tags, _ in parser.lines], radius)
+    mean = sum(ratios) / len(ratios)
+    limit = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
+    return parser.teasers | doubtful.difference(*(path for (_, _, path), ratio in zip(parser.lines, ratios, strict=True) if ratio >= limit))
+
+
+def extract(html: str | None, radius: int = 1) -> str:
     """The main text; empty for a null or empty page, or one without content lines.
 
     Repeated lines stay. Pages that end early, leave elements open or close what was never opened are read as far as they go.
@@ -131,35 +160,17 @@ def extract(html: str | None, radius: int = 1, share: float = 0.9) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not lines:
-        return ""
-    ratios = _smooth([len(text) / max(1, tags) for text, tags, _ in lines], radius)
-    mean = sum(ratios) / len(ratios)
-    limit = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    inside: dict[int, int] = {}
-    total = 0
-    for (text, _, path), ratio in zip(lines, ratios, strict=True):
-        if ratio >= limit:
-            total += len(text)
-            for n in path:
-                inside[n] = inside.get(n, 0) + len(text)
-    regions = {n: size for n, size in inside.items() if parser.tag_of[n] in _REGION}
-    if regions:
-        chosen = {n for n, size in regions.items() if 2 * size >= max(regions.values())}
-    else:
-        chosen = {max((n for n, size in inside.items() if size >= share * total and parser.tag_of[n] in _HOLDERS), default=0)}
-    if chosen == {0}:
-        return "\n".join(text for text, _, _ in lines)
-    return "\n".join(text for text, _, path in lines if not chosen.isdisjoint(path))
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", radius: int = 1, share: float = 0.9) -> DataFrame:
+    regions = {n for _, _, path in parser.lines for n in path if parser.tag_of[n] in _REGION}
+    chosen = regions - _teasers(parser, regions, radius)
+    return "\n".join(text for text, _, path in parser.lines if not chosen or not chosen.isdisjoint(path))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", radius: int = 1) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars. Null ids and urls stay null; repeated rows stay; other columns are not read. One pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py(), radius, share) for x in batch.column(2)]
+            texts = [extract(x.as_py(), radius) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

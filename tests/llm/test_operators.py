@@ -389,6 +389,31 @@ def test_html_of_generated_pages():
         assert htmltext.extract(page) == "\n".join(["Title", *blocks])
 
 
+def test_html_keeps_every_part_of_the_text():
+    lead, text = "a" * 119 + ".", "b" * 599 + "."
+    body = f"<p>{text}</p>" * 5
+    assert htmltext.extract(f"<div id=content><div class=lead><p>{lead}</p></div><div class=text>{body}</div></div>") == "\n".join([lead, *[text] * 5])
+    items = "".join(f"<li><b><i>{k}</i></b></li>" for k in range(9))
+    page = f"<nav>n</nav><h1>T</h1><ul>{items}</ul><div>{body}</div><section><p>End.</p></section><div class=comments>{body}</div>"
+    assert htmltext.extract(page) == "\n".join(["T", *"012345678", *[text] * 5, "End."])
+    story = f"<article><h1>T</h1>{body}</article>"
+    for part in ("<p>End.</p>", f"<h2>Part two</h2><p>{lead}</p>", "<h2><a href='#two'>Part two</a></h2><p>x</p>", f"<h2><a href=/two>Part two</a></h2><p>{text}</p>"):
+        want = htmltext.extract(f"<div>{part}</div>")
+        assert htmltext.extract(f"{story}<p>beside</p><article>{part}</article>") == "\n".join(["T", *[text] * 5, want]), part
+
+
+def test_html_teasers_and_comments():
+    text = "b" * 599 + "."
+    story = f"<article><h1>T</h1>{f'<p>{text}</p>' * 5}</article>"
+    want = "\n".join(["T", *[text] * 5])
+    cards = "".join(f"<article><a href=/{k}><img><h3>Other {k}</h3></a><span><b>More</b></span></article>" for k in range(6))
+    assert htmltext.extract(story + cards) == want
+    assert htmltext.extract(f"{story}<article class='post-teaser x'><p>{text}</p></article><article class=comment><p>{text}</p></article>") == want
+    listing = f"<article><h2><a href=/a>A</a></h2><p>{text}</p></article><article><h2><a href=/b>B</a></h2><p>b</p></article>"
+    assert htmltext.extract(listing) == f"A\n{text}\nB\nb"
+    assert htmltext.extract("<article class=teaser><p>a</p></article>") == "a"
+
+
 # 8
 
 
