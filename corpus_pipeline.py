@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, packing, rules, secrets, simhash
-from marlstone.llm.common import scratch_path, table
+from marlstone.llm.common import materialise, scratch_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component. Rows that share it as well: the least by their texts and other columns. A row without an id stays."""
-    groups = simhash.near_duplicates(docs).filter("id IS NOT NULL AND id > component_id").select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti")
-    named = left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    return named.select("doc_id", "_row.*").select(*docs.columns).unionByName(left.filter("doc_id IS NULL"))
+    """The row with the smallest id of each SimHash component. Rows of the component that share it as well: the least by their texts and other columns. Rows that share an id alone all stay, as does a row without one."""
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = materialise(simhash.near_duplicates(keyed, beside_col="_hash").filter("id IS NOT NULL").groupBy("id", "component", "component_id", F.col("beside").alias("_hash")).agg(F.count("*").alias("n")), "near")
+    gone = found.filter("id > component_id").select("id", "_hash")
+    least = found.filter("id = component_id")
+    shared = least.groupBy("id", "component").agg(F.sum("n").alias("rows")).filter("rows > 1").select("id", "component")
+    shared = materialise(least.join(shared, ["id", "component"], "left_semi").select("id", "_hash", "component"), "near-shared")
+    here = (F.col("doc_id") == F.col("id")) & (F.col("_hash") == F.col("_other"))
+    left = keyed.join(gone.unionByName(shared.select("id", "_hash")).withColumnRenamed("_hash", "_other"), here, "left_anti").select(*docs.columns)
+    if not shared.limit(1).count():
+        return left
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"]).alias("_rest")
+    chosen = keyed.select("doc_id", "_hash", rest).join(shared.withColumnRenamed("_hash", "_other"), here).groupBy("doc_id", "component").agg(F.min("_rest").alias("_row"))
+    return left.unionByName(chosen.select("doc_id", "_row.*").select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

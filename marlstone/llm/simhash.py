@@ -44,16 +44,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, beside_col: str | None = None) -> DataFrame:
+    """(id, fp): the fingerprint of each row as a signed long; with beside_col (a long), that as beside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["id", "fp", "beside"][: batch.num_columns])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    more = [F.col(beside_col).cast("long").alias("beside")] if beside_col else []
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return source.mapInArrow(run, "id long, fp long" + ", beside long" * len(more))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -126,21 +127,22 @@ def links(fps: DataFrame, distance: int = 3, blocks: int | None = None, cell: in
     return cells.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int | None = None, cell: int = CELL, hot_rows: int = 200_000) -> DataFrame:
-    """One row for each row of docs: id, fp (signed long), component_id (the smallest id that links reach).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int | None = None, cell: int = CELL, hot_rows: int = 200_000, beside_col: str | None = None) -> DataFrame:
+    """One row for each row of docs: id, fp (signed long), component_id (the smallest id that links reach), component (the
+    same for the rows of a component, and for no others, even where ids repeat); with beside_col (a long), that as beside.
 
     Null or wordless texts have fingerprint zero and are linked like any other. A null id keeps its row; it counts as no
     id, so a component of null ids has a null component_id. Repeated rows stay repeated. Other columns of docs are not read.
     """
-    own = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    own = materialise(fingerprints(docs, id_col, text_col, shingle, beside_col), "simhash")
     each = materialise(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-each")
     joined = connected_components(links(each.select("fp"), distance, blocks, cell), "a", "b", hot_rows)
     linked = each.join(joined, each["fp"] == joined["node"], "inner").select("fp", "least", "n", "component")
     of = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    settled = join_stats(linked, of, "component", "members", "inner", hot_rows).select("fp", "component_id", "n")
-    alone = each.join(settled.select("fp"), "fp", "left_anti").filter("n > 1").select("fp", F.col("least").alias("component_id"), "n")
+    settled = join_stats(linked, of, "component", "members", "inner", hot_rows).select("fp", "component_id", "component", "n")
+    alone = each.join(settled.select("fp"), "fp", "left_anti").filter("n > 1").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component"), "n")
     labels = materialise(settled.unionByName(alone), "simhash-labels")
-    return join_stats(own, labels, "fp", "n", "left", hot_rows).select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    return join_stats(own, labels, "fp", "n", "left", hot_rows).select("id", "fp", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "fp").alias("component"), *own.columns[2:])
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:

@@ -596,3 +596,16 @@ def test_pipeline(spark, tmp_path):
     assert abs(words(kept[3]) - 1.5 * words(kept[2])) < 0.05 * words(kept[2])
     got = kept[4].collect()
     assert json.loads(json.dumps(sum(r["length"] for r in got))) > 0 and corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_near_dedup_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(5))
+    data = [(1, a, "y"), (1, a, "x"), (1, a.upper(), "x"), (1, b, "x"), (2, a, "x"), (2, c, "x"), (3, b, "x"), (3, d, "x"), (3, d, "x"), (4, c, "x"), (None, a, "x"), (None, a, "x"), (5, e, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(data, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    assert rows(got) == sorted([(1, a.upper(), "x"), (1, b, "x"), (2, c, "x"), (3, d, "x"), (None, a, "x"), (None, a, "x"), (5, e, None)], key=str)
+    once = [r for k, r in enumerate(data) if k in (0, 3, 5, 7, 12)]
+    assert rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(once, "doc_id long, text string, source string"), "")) == sorted(once, key=str)
