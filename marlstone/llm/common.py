@@ -2,56 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.plans.scratch import cut as materialise
+from marlstone.plans.scratch import folder as scratch_path
+from marlstone.plans.scratch import plain_unions
+
+__all__ = ["join_stats", "materialise", "plain_unions", "scratch_path", "signed", "table"]
+
 #: A key with at least this many rows is hot: its row of the other side is broadcast. There are at most rows / HOT_ROWS such keys.
 HOT_ROWS = 200_000
 #: No more hot keys than this are broadcast (about 10 MB of keys); beyond it the threshold is raised.
 MAX_HOT_KEYS = 100_000
 
 
-def plain_unions(spark: SparkSession) -> None:
-    """Keep the planner from taking a union of equally partitioned tables for partitioned itself: in 4.1 a join on such a union
-    can fail with unequal numbers of partitions once adaptive execution has changed one of them."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder, removed when the application ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs nothing that was done before."""
-    spark = df.sparkSession
-    plain_unions(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_stats(left: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join left with stats (one row for each key, with the number of left rows in count) so that no task gets all rows of a hot key.
 
