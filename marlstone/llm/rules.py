@@ -3,11 +3,13 @@
 Sequential covering: a rule is a conjunction of thresholds, grown one condition at a time by FOIL's gain on two thirds of
 the rows still uncovered, then pruned from its end by (p - n) / (p + n) on the other third. A rule is taken only if its
 precision there reaches a floor, and its rows leave the training set. The list becomes one Spark conditional expression,
-tried in order. The rules learn what low quality looks like, so what no rule covers is kept.
+tried in order. The rules learn what low quality looks like among texts that the base rules pass, so what no rule covers is
+kept. How many rows a rule must cover is a share of the bad rows to learn from, so that small tables are learned from too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 #: Labelled rows that the list is fitted on: the ids with the least hashes, so the choice doesn't hang on row order.
 MAX_LABELLED = 20_000
+#: A rule covers at least this share of the bad rows that there were to learn from, and at least so many.
+SHARE, LEAST = 0.02, 5
 WINDOW = 8
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -91,8 +96,7 @@ def statistics(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pr
             table = np.array(rows, np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names)))], names=[*batch.schema.names, *names])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, *(f"`{c}` long" for c in names)]))
+    return docs.mapInArrow(run, S.StructType([*docs.schema.fields, *(S.StructField(c, S.LongType()) for c in names)]))
 
 
 #: What rules may test: shares of the statistics, each with a numerator and a denominator.
@@ -141,8 +145,9 @@ def _holds(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarra
     return out
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 20, most_conditions: int = 4, most_rules: int = 16, cuts: int = 64, seed: int = 7) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, share: float = SHARE, least: int = LEAST, most_conditions: int = 4, most_rules: int = 16, cuts: int = 64, seed: int = 7) -> list[Rule]:
     """An ordered list of rules that cover bad rows. Rows of one class, or none, give an empty list."""
+    least = max(least, math.ceil(share * bad.sum()))
     left = np.arange(len(bad))
     out: list[Rule] = []
     while len(out) < most_rules and bad[left].sum() >= least:
@@ -188,21 +193,21 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
             rule = rule[:-1]
         m = _holds(rule, {k: v[left] for k, v in x.items()}, len(left))
         hits, exact = int((bad[left] & m).sum()), (worth(rule) + 1) / 2
-        share = hits / max(1, int(m.sum()))
-        if hits < least or min(share, exact) < precision:
+        right = hits / max(1, int(m.sum()))
+        if hits < least or min(right, exact) < precision:
             break
-        out.append(Rule(tuple(rule), int(m.sum()), share))
+        out.append(Rule(tuple(rule), int(m.sum()), right))
         left = left[~m]
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", bad_value: int = 0, most: int = MAX_LABELLED, **options: float) -> list[Rule]:
-    """The list for labelled rows of docs; at most `most` of them reach the driver, as numbers. Null labels and ids don't count; an id labelled twice has its lower label."""
+    """The list for labelled rows of docs that the base rules pass; at most `most` of them reach the driver, as numbers. Null labels and ids don't count; an id labelled twice has its lower label."""
     marked = labels.select(F.col(label_id).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     some = texts.join(F.broadcast(chosen), "_id")  # the bound is `most` rows
-    rows = statistics(some, "_text").select("_id", "_label", *(feature(c).alias(c) for c in FEATURES)).toPandas().sort_values(["_id", *FEATURES], ignore_index=True)
+    rows = statistics(some, "_text").filter(~base_failed()).select("_id", "_label", *(feature(c).alias(c) for c in FEATURES)).toPandas().sort_values(["_id", *FEATURES], ignore_index=True)
     if rows.empty:
         return []
     return learn({c: rows[c].to_numpy(float) for c in FEATURES}, (rows["_label"] == bad_value).to_numpy(), **options)
