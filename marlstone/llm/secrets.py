@@ -13,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,12 +80,12 @@ def linked_spans(text: str, base: list[Span], radius: int | None = RADIUS) -> li
     names = [(m.start(), 5, m.end()) for m in IDENTITY.finditer(text)] if any(k in low for k in ("user", "login", "account", "client")) else []
     if not access and not names:
         return []
-    taken = sorted(base)
-    starts = [s[0] for s in taken]
+    starts, ends = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
 
     def free(a: int, b: int) -> bool:
+        """Whether no base span, which are in order of their starts, overlaps these characters."""
         k = bisect_left(starts, b)
-        return all(taken[i][2] <= a for i in range(max(0, k - 3), k))
+        return not k or ends[k - 1] <= a
 
     names = [s for s in names if free(s[0], s[2])]
     secrets = [(m.start(), 3, m.end()) for m in SECRET.finditer(text) if _mixed(m[0]) and free(m.start(), m.end())]
