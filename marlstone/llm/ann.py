@@ -2,9 +2,9 @@
 
 On a bounded sample the graph of nearest neighbours is cut into balanced parts by recursive bisection: a split at the
 median of the main direction, then swaps of equal numbers that lower the edges cut. A small network learns to tell, from a
-vector, which parts its neighbours lie in. It files every row under its most probable part and routes each query to
-several, as many as held-out sample vectors need for the recall asked for. What is routed together is reranked in double
-precision.
+vector, which parts its neighbours lie in. It files every row under its most probable part and routes each query to its
+most probable parts, up to the probability that held-out sample vectors need for the recall asked for: a query that the
+network is sure of is sent to fewer. What is routed together is reranked in double precision.
 
 A part's rows and its queries are cut into chunks, and each pair of chunks is a cell of its own, so no part, however large,
 is one task's whole work. A cell keeps the nearest of its rows for each of its queries, so what is merged is small.
@@ -25,6 +25,8 @@ from marlstone.llm.common import materialise
 
 #: Rows that the parts and the network are fitted on, those with the least hashes of their ids.
 SAMPLE = 8_192
+#: The share of true neighbours that held-out vectors are to find.
+RECALL = 0.93
 #: At most so many parts, whatever the number of rows.
 MAX_PARTS = 1_024
 ROW_CHUNK, QUERY_CHUNK = 16_384, 4_096
@@ -92,7 +94,7 @@ class Router:
     b: np.ndarray
     c: np.ndarray
     d: np.ndarray
-    probes: int = 1
+    mass: float = 0.0  # a part is asked while the more probable ones have no more probability than this
 
     @property
     def parts(self) -> int:
@@ -101,8 +103,16 @@ class Router:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.a + self.b, 0) @ self.c + self.d
 
+    def order(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row all parts, most probable first, and the probability of those before each."""
+        z = self.logits(x)
+        order = np.argsort(-z, axis=1, kind="stable")
+        share = np.exp(z - z.max(axis=1, keepdims=True))
+        share = np.take_along_axis(share / share.sum(axis=1, keepdims=True), order, 1)
+        return order, np.cumsum(share, axis=1) - share
 
-def train_router(x: np.ndarray, goal: np.ndarray, hidden: int = 64, epochs: int = 12, batch: int = 256) -> Router:
+
+def train_router(x: np.ndarray, goal: np.ndarray, hidden: int = 256, epochs: int = 12, batch: int = 256) -> Router:
     rng = np.random.default_rng(11)
     size, parts = x.shape[1], goal.shape[1]
     w = [rng.normal(size=(size, hidden)) * np.sqrt(2 / size), np.zeros(hidden), rng.normal(size=(hidden, parts)) * np.sqrt(2 / hidden), np.zeros(parts)]
@@ -125,24 +135,26 @@ def train_router(x: np.ndarray, goal: np.ndarray, hidden: int = 64, epochs: int
     return Router(*w)
 
 
-def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.95, neighbours: int = 10) -> Router:
-    """The router for a sample; its probes are the fewest that give the recall on an eighth of the sample that is held out."""
-    size = x.shape[1]
+def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = RECALL, neighbours: int = 10) -> Router:
+    """The router for a sample; its mass is the least that gives the recall, and a margin for the size of the sample, on an eighth of it that is held out."""
     scale = np.sqrt((x**2).sum(axis=1).mean())
-    x = x / scale if scale else x
-    if parts < 2 or len(x) < 8 * k:
-        return Router(np.zeros((size, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    held, rest = x[: len(x) // 8], x[len(x) // 8 :]
-    graph = nearest(rest, rest, neighbours, True)
+    x = x / scale
+    held, rest = x[: -(-len(x) // 8)], x[-(-len(x) // 8) :]
+    if len(rest) < 2:
+        held = rest = x
+    k, neighbours = min(k, len(rest)), max(1, min(neighbours, len(rest) - 1))
+    graph = nearest(rest, rest, neighbours, len(rest) > 1)
     part = balanced_parts(rest, graph, parts)
     goal = np.zeros((len(rest), parts))
     np.add.at(goal, (np.repeat(np.arange(len(rest)), neighbours), part[graph].ravel()), 0.5 / neighbours)
     goal[np.arange(len(rest)), part] += 0.5
     router = train_router(rest, goal)
     filed = router.logits(rest).argmax(axis=1)
-    places = np.argsort(np.argsort(-router.logits(held), axis=1), axis=1)
-    need = np.sort(np.take_along_axis(places, filed[nearest(held, rest, k, False)], 1).ravel())
-    router.probes = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
+    order, before = router.order(held)
+    places = np.argsort(order, axis=1)
+    need = np.sort(np.take_along_axis(before, np.take_along_axis(places, filed[nearest(held, rest, k, False)], 1), 1).ravel())
+    wanted = min(1.0, recall + 0.25 / np.sqrt(len(held)))
+    router.mass = float(need[min(len(need) - 1, int(np.ceil(wanted * len(need))))]) + 1e-12
     router.a = router.a / scale
     return router
 
@@ -174,15 +186,17 @@ def _top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.n
 
 
 def search(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95, sample: int = SAMPLE, parts: int | None = None, probes: int | None = None, row_chunk: int = ROW_CHUNK, query_chunk: int = QUERY_CHUNK
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = RECALL, sample: int = SAMPLE, parts: int | None = None, probes: int | None = None, row_chunk: int = ROW_CHUNK, query_chunk: int = QUERY_CHUNK
 ) -> DataFrame:
     """For each usable row whose id is divisible by every: query_id, rank, vec_id, score of its k nearest other rows.
 
     Nearness is the inner product. Null, zero, non-finite and odd-sized vectors (other than the commonest size) and rows
     without an id take no part. A query's own row is every row with its id; an id that repeats is one query, with the
-    least of its vectors, while repeated rows are candidates each for itself. Other columns are not read.
+    least of its vectors, while repeated rows are candidates each for itself. Other columns are not read. Tables of any size
+    are searched the same way; probes asks so many parts for each query instead of those that the recall needs.
     """
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    kind = "array<float>" if dict(vectors.dtypes).get(vector_col) == "array<float>" else "array<double>"  # floats travel as they are
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     sizes = source.groupBy(F.size("v").alias("size")).count().filter("size > 0").orderBy(F.desc("count"), "size").first()
     empty = source.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
@@ -194,30 +208,30 @@ def search(
     if not n:
         return empty
     x = np.array(some["v"].tolist(), np.float64).reshape(-1, size)
-    parts = parts or int(min(MAX_PARTS, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n) / 4))))))
-    router = fit(x, parts if n >= 1024 else 1, k, recall)
-    probes = min(probes or router.probes, router.parts)
+    parts = parts or int(min(MAX_PARTS, 2 ** round(np.log2(np.sqrt(n)))))
+    router = fit(x, parts, k, recall)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = router.logits(_matrix(batch.column(1), size)).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], names=["part", "vec_id", "v"])
 
-    filed = materialise(source.mapInArrow(file, "part int, vec_id long, v array<double>"), "ann-rows")
+    filed = materialise(source.mapInArrow(file, f"part int, vec_id long, v {kind}"), "ann-rows")
     held = dict(filed.groupBy("part").count().collect())  # a row for each part
     counts = np.array([held.get(p, 0) for p in range(router.parts)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(-router.logits(_matrix(batch.column(1), size)), axis=1, kind="stable")
+            order, before = router.order(_matrix(batch.column(1), size))
             found = np.cumsum(counts[order], axis=1) - counts[order]
-            taken = (np.arange(router.parts)[None, :] < probes) | (found < 4 * k)  # and on, where parts are almost empty
+            near = before <= router.mass if probes is None else np.arange(router.parts)[None, :] < probes
+            taken = near | (found < 4 * k)  # and on, where parts are almost empty
             i, j = np.nonzero(taken)
             rows = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(order[i, j].astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["part", "query_id", "q"])
 
     asked = source.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    routed = materialise(asked.select("vec_id", "v").mapInArrow(route, "part int, query_id long, q array<double>"), "ann-queries")
+    routed = materialise(asked.select("vec_id", "v").mapInArrow(route, f"part int, query_id long, q {kind}"), "ann-queries")
     asks = dict(routed.groupBy("part").count().collect())
     grid = [(p, -(-int(counts[p]) // row_chunk), -(-asks.get(p, 0) // query_chunk)) for p in range(router.parts) if counts[p] and asks.get(p)]
     cells = F.broadcast(source.sparkSession.createDataFrame(grid or [(-1, 1, 1)], "part int, rows int, asks int"))  # a row for each part
@@ -227,7 +241,7 @@ def search(
     def cell(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        found = _top(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), queries["query_id"].to_numpy(), np.stack(queries["q"].to_numpy()), k)
+        found = _top(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy(), np.stack(queries["q"].to_numpy()).astype(np.float64), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ["part", "r", "a"]

@@ -5,6 +5,7 @@ import html
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -214,6 +215,16 @@ def test_rules_learn_and_judge(spark):
     assert rules.op4_quality_rules(df.limit(0), lab).count() == 0
 
 
+def test_rules_learn_from_few_rows():
+    rng = np.random.default_rng(3)
+    bad = np.arange(300) % 12 == 0
+    x = {"good": rng.normal(size=300) + 5 * bad, "noise": rng.normal(size=300)}
+    (rule,) = rules.learn(x, bad)
+    assert rule.covered >= 20 and rule.precision >= 0.97 and {c.feature for c in rule.conditions} == {"good"}
+    assert rules.learn(x, np.zeros(300, bool)) == [] and rules.learn({"noise": x["noise"]}, bad) == []
+    assert rules.learn({k: v[:0] for k, v in x.items()}, bad[:0]) == []
+
+
 # 5
 
 
@@ -308,6 +319,21 @@ def test_secret_links_against_all_pairs():
         assert every == sorted(base + want), text
 
 
+def test_secret_candidates_that_base_spans_hold():
+    held = "token=" + "/".join(["f" * 24] * 5) + "/x.internal"
+    assert [secrets.KINDS[k] for _, k, _ in secrets.scan(f"{KEY} login: bob {held}", None)[1]] == ["access", "assign", *["hex"] * 5]
+
+
+def test_secret_scan_is_linear():
+    took = []
+    for n in (4000, 16_000):
+        text = f"{KEY}\n" + f"{SECRET} login: bob token = {'f' * 30} https://a.example/x\n" * n
+        began = time.process_time()
+        assert len(secrets.scan(text, None)[1]) == 1 + 5 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 # 6
 
 
@@ -414,6 +440,46 @@ def test_html_teasers_and_comments():
     assert htmltext.extract("<article class=teaser><p>a</p></article>") == "a"
 
 
+def test_html_clusters_choose_the_region(monkeypatch):
+    text, lead = "b" * 299 + ".", "Short lead."
+    body = f"<p>{lead}</p>" + f"<p>{text}</p>" * 4 + "<p>See <a href=/more>this page</a>.</p><p>End.</p>"
+    want = "\n".join(["T", lead, *[text] * 4, "See this page.", "End."])
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(6)) + "</ul>"
+    flat = "<div>" + "".join(f"<a href=/{k}>Item {k}</a> | " for k in range(6)) + "</div>"
+    rights = "<div><p>© 2020 Someone</p><p><a href=/terms>Terms</a></p></div>"
+    for page in (f"<div>{menu}</div><div><h1>T</h1>{body}</div>{rights}", f"{flat}<h1>T</h1>{body}{menu}{rights}", f"<main>{menu}<h1>T</h1>{body}</main>{flat}", f"<h1>T</h1><div><div>{body}</div>{menu}</div>"):
+        assert htmltext.extract(page) == want, page
+    inside = f"<ul><li>{text}</li><li><a href=/1>x</a></li><li><a href=/2>x</a></li><li><a href=/3>x</a></li></ul>"
+    assert htmltext.extract(f"<h1>T</h1>{inside}<p>{text}</p>") == "\n".join(["T", text, "x", "x", "x", text])
+    assert htmltext.extract(f"<article><h1>T</h1>{body}<ul>{menu}</ul></article>").startswith(want)  # an article keeps its lists
+    for every in (True, False):
+        monkeypatch.setattr(htmltext, "clusters", lambda lines, radius, every=every: [every] * len(lines))
+        assert htmltext.extract(f"<div>{menu}</div><div><h1>T</h1>{body}</div>") != want
+
+
+def test_html_noise_inside_an_article():
+    text = "b" * 299 + "."
+    noise = ["<nav>n</nav>", "<aside><p>a</p></aside>", "<div class='share-bar x'>n</div>", "<div class='ad'>n</div>", "<form><p>f</p></form>", "<script>x('<p>n</p>')</script>", "<!-- <p>n</p> -->", "<div hidden>h</div>", "<ol class='comments'><li>c</li></ol>", "<article class=comment><p>c</p></article>", "<div role=dialog>d</div>", "<style>p{}</style>", "<footer>f</footer>"]
+    rng = random.Random(4)
+    for _ in range(40):
+        body, want = ["<h1>T</h1>"], ["T"]
+        for k in range(6):
+            body += [rng.choice(noise), f"<p>{k} {text}</p>"]
+            want.append(f"{k} {text}")
+        assert htmltext.extract(f"<body><article>{''.join(body)}{rng.choice(noise)}</article></body>") == "\n".join(want)
+
+
+def test_html_of_any_form_in_linear_time():
+    n = 100_000
+    began = time.process_time()
+    for tag in ("<div>x", "<b>x", "<article>x", "<span>", "<a ", "<!--", "<![CDATA[", "</", "<", "<?", "<i><p>x", "<main><ul>"):
+        htmltext.extract(tag * n)
+    assert htmltext.extract("<div>" * n + "deep" + "</div>" * n) == "deep"
+    assert time.process_time() - began < 120
+    for page, want in (("<p>a<![foo[ x ]]>b", "ab"), ("<![ >x", "x"), ('<p>one<p>two<a href="x>three<p>four', "one\ntwothree\nfour"), ("x<!--y", "x"), ("a</", "a"), ("a<", "a<")):
+        assert htmltext.extract(page) == want
+
+
 # 8
 
 
@@ -520,7 +586,7 @@ def _exact(ids, x, every, k):
     return out
 
 
-def test_ann_small_tables_are_exact(spark):
+def test_ann_with_all_parts_is_exact(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 8)).astype(np.float32)
     x[40:60] = x[40]
@@ -529,8 +595,10 @@ def test_ann_small_tables_are_exact(spark):
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, rank int")
     want = _exact([k for k, _, _ in data], [v for _, v, _ in data], 20, 20)
     for options in ({}, {"row_chunk": 40, "query_chunk": 3}):
-        got = [tuple(r) for r in ann.search(df, **options).orderBy("query_id", "rank").collect()]
+        got = [tuple(r) for r in ann.search(df, probes=10**6, **options).orderBy("query_id", "rank").collect()]
         assert got == want
+    some = [(r["query_id"], r["vec_id"]) for r in ann.search(df).collect()]
+    assert len(some) == len(want) and len(set(some) & {(q, v) for q, _, v, _ in want}) >= 0.8 * len(want)
     few = ann.search(spark.createDataFrame(data[:5], "vec_id long, embedding array<float>, rank int")).collect()
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2), (0, 3), (0, 4)]
     assert ann.search(df.limit(0)).count() == 0
