@@ -146,7 +146,7 @@ def test_mixing(spark):
     data += [(1000, "one two"), (1001, None), (1002, ""), (7, data[7][1]), (None, "x y z")]
     src += ["tiny", "empty", "hot", src[7], "hot"]
     df = docs(spark, data, src)
-    for hot in (5, 10**6):
+    for hot in (5,):
         got = mixing.mix(df, hot_rows=hot).collect()
         assert len(got) == len(data)
         want = Counter()
@@ -164,7 +164,73 @@ def test_mixing(spark):
     again = rows(mixing.op3_pareto_mixing(df.repartition(7)))
     assert again == rows(mixing.op3_pareto_mixing(df))
     assert mixing.op3_pareto_mixing(df.limit(0)).count() == 0
-    assert sum(r["copies"] for r in mixing.mix(df).collect()) == mixing.take(df).count()
+    assert sum(r["copies"] for r in got) == mixing.take(df).count()
+
+
+def _drawn(rows, lack, rounds=4):
+    """Indices that are taken: rows (q, doc_id, size, tie, p, size) in order of q while they fit, in rounds."""
+    order = sorted(range(len(rows)), key=lambda k: rows[k][:4])
+    taken = set()
+    for _ in range(rounds):
+        left = lack - sum(rows[k][2] for k in taken)
+        upto = 0
+        for k in order:
+            if k in taken or not rows[k][2] or rows[k][2] > left or rows[k][4] <= 0:
+                continue
+            upto += rows[k][2]
+            if upto > left:
+                break
+            taken.add(k)
+    return taken
+
+
+@pytest.mark.parametrize("hot", [40, 10**6])
+def test_mixing_against_a_sample_drawn_row_by_row(spark, hot):
+    rng = random.Random(11)
+    data = [(k, " ".join(rng.choice("abcdefgh") * (1 + k % 3) for _ in range(rng.choice([1, 2, 9, 40, 300])))) for k in range(500)] + [(7, "a b c"), (7, "a b c"), (600, None), (601, "")]
+    src = [rng.choice(["a", "b", "c", None]) if k % 3 else "hot" for k in range(len(data))]
+    table = docs(spark, data, src)
+    worth = {t: 1.0 if len(w := (t or "").split()) < 2 else max(0.25, np.log(len(set(w))) / np.log(len(w))) for _, t in data}
+    level = {t: int(np.floor(np.log2(x) * mixing.STEPS + 0.5)) for t, x in worth.items()}
+    number = dict(table.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 12).cast("double") + 0.5) / float(1 << 52)).collect())
+    size = Counter()
+    for (_, t), s in zip(data, src, strict=True):
+        size[s] += len((t or "").split())
+    goal = _targets(size)
+    got = Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(table, worth=mixing.diversity(F.col("text")), hot_rows=hot).collect())
+    want, some = Counter(), 0
+    for s in size:
+        own = [(i, t, len((t or "").split())) for (i, t), x in zip(data, src, strict=True) if x == s]
+        w = [2.0 ** (level[t] / mixing.STEPS) for _, t, _ in own]
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the factor at which the copies add up to the target
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(2.0, c * x) * n for x, (_, _, n) in zip(w, own, strict=True)) < goal[s] - 1e-9 else (low, c)
+        copies = [min(2.0, high * x) if n else 0.0 for x, (_, _, n) in zip(w, own, strict=True)]
+        base = [int(c + 1e-7) for c in copies]
+        p = [max(0.0, c - b) for c, b in zip(copies, base, strict=True)]
+        some += len({round(x, 6) for x in p})
+        odds = [number[i] / (1 - number[i]) * (1 - x) / x if x > 1e-9 else 0.0 for (i, _, _), x in zip(own, p, strict=True)]
+        taken = _drawn([(q, -1 if i is None else i, n, 0, x if x > 1e-6 else 0.0) for q, (i, _, n), x in zip(odds, own, p, strict=True)], goal[s] - sum(b * n for b, (_, _, n) in zip(base, own, strict=True)))
+        for k, (i, _, n) in enumerate(own):
+            want[(i, s, n, base[k] + (k in taken))] += 1
+    assert got == want and some > 12
+
+
+def test_mixing_of_odds_near_one(spark):
+    """However near the odds are to 0 or 1, no bucket of the histogram holds many rows; worths that aren't positive numbers count as 1."""
+    table = docs(spark, [(k, "a b") for k in range(4000)], ["a"] * 4000)
+    for total in (1.0005, 1.9995):
+        got = mixing.mix(table, total=total, worth=F.when(F.col("doc_id") % 4 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 4 == 1, F.lit(-1.0)).when(F.col("doc_id") % 4 == 2, F.lit(None)).otherwise(F.lit(1.0))).agg(F.sum("taken"), F.max("copies"), F.min("copies")).first()
+        assert tuple(got) == (round(8000 * total), 2, 1)
+
+
+def test_mixing_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    size = {f"s{k:04}": int(10 ** rng.uniform(0, 6)) for k in range(700)} | {None: 12345, "z": 0}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(s, n) for s, n in size.items()], "source string, source_size long")).collect()}
+    want = _targets(size)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
 
 
 # 4
