@@ -22,19 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_stats(left: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_stats(left: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
     """Join left with stats (one row for each key, with the number of left rows in count) so that no task gets all rows of a hot key.
 
     Rows of keys with hot_rows or more meet a broadcast of those keys' stats, of which there are at most rows / hot_rows; all
-    others meet in a shuffle, in which a key has fewer than hot_rows rows. how: inner or left. The result has left's columns
-    and those of stats but count.
+    others meet in a shuffle, in which a key has fewer than hot_rows rows. how: inner or left; hint: how the others are to be
+    joined. The result has left's columns and those of stats but count.
     """
     values = [c for c in stats.columns if c not in (key, count)]
     hot = stats.filter(F.col(count) >= hot_rows)
     n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
     if n_hot > MAX_HOT_KEYS:
-        return join_stats(left, stats, key, count, how, hot_rows * 8)
+        return join_stats(left, stats, key, count, how, hot_rows * 8, hint)
     cold = stats.filter(F.col(count) < hot_rows).select(key, *values)
+    cold = cold.hint(hint) if hint else cold
     if not n_hot:
         return left.join(cold, key, how).select(*left.columns, *values)
     hot = F.broadcast(hot.select(key, *values))

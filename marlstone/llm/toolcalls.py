@@ -1,9 +1,12 @@
 """Tool-call linking, in DataFrame functions alone.
 
-Calls and results are joined by identifier. Calls are ordered topologically: a call that builds on one other (its parent)
-comes after it, at a position found by pointer doubling, in as many rounds as the longest chain's logarithm. Arguments are
-validated against a schema compiled to column expressions, and each linked call is written as canonical JSON (keys sorted
-at every level, no white space).
+Calls and results meet in hash joins by identifier. Calls are ordered topologically: a call comes after all that it builds on
+(its parents), at the length of the longest chain of calls that leads to it. Chains of calls with one parent each are
+followed by pointer doubling, in as many rounds as their length's logarithm; only calls with several parents, where chains
+meet, are peeled layer by layer. Arguments are validated against a schema compiled to column expressions, and each linked
+call is written as canonical JSON (keys sorted at every level, no white space).
+
+A parent of very many calls is no task's whole work: rows that look for it meet a broadcast of such parents (join_stats).
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise
+from marlstone.llm.common import HOT_ROWS, join_stats, materialise
 
 _TYPES = {"string": "string", "integer": "long", "number": "double", "boolean": "boolean"}
 
@@ -61,39 +64,77 @@ def violations(json: Column, schema: Mapping[str, Any]) -> Column:
     return F.array_sort(F.when(is_object, inside).otherwise(F.array(F.lit(":object"))))
 
 
-def positions(calls: DataFrame, id_col: str = "call_id", parent_col: str = "parent_id") -> DataFrame:
-    """(id_col, position): how many calls a call builds on, one after another. Null in or after a cycle; a parent that isn't there is none."""
-    ids = calls.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")).filter(F.col(id_col).isNotNull()).groupBy("id").agg(F.min("up").alias("up"))
-    known = ids.select(F.col("id").alias("up"))
-    now = ids.join(known, "up", "left_semi").select("id", "up", F.lit(1).cast("long").alias("d"))
-    now = materialise(now.unionByName(ids.join(now.select("id"), "id", "left_anti").select("id", F.lit(None).cast(ids.schema["up"].dataType).alias("up"), F.lit(0).cast("long").alias("d"))), "calls")
-    n = now.count()
-    for _ in range(max(1, n).bit_length() + 1):
-        if not now.filter(F.col("up").isNotNull()).limit(1).count():
-            break
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"))
-        going = now.filter(F.col("up").isNotNull()).join(above, "up").select("id", F.col("next").alias("up"), (F.col("d") + F.col("more")).alias("d"))
-        now = materialise(going.unionByName(now.filter(F.col("up").isNull())), "calls")
-    return now.select(F.col("id").alias(id_col), F.when(F.col("up").isNull(), F.col("d")).alias("position"))
+def _follow(rows: DataFrame, to: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """rows with the columns of to, which has one row for each key; rows whose key isn't there go."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("asking"))
+    return join_stats(rows, to.join(counts.hint("shuffle_hash"), key), key, "asking", "inner", hot_rows, "shuffle_hash")
+
 
+def positions(calls: DataFrame, id_col: str = "call_id", parents_col: str = "parent_ids", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id_col, position): the length of the longest chain of calls that a call builds on. parents_col: an array of identifiers.
 
-def link(calls: DataFrame, results: DataFrame, schema: Mapping[str, Any]) -> DataFrame:
-    """One row for each identifier of calls (call_id, parent_id, name, arguments) and results (call_id, content).
+    Null in or after a cycle. A parent that isn't there is none, and so is a null one; a call that is its own parent is a cycle.
+    Rows that repeat an identifier add up their parents.
+    """
+    ids = materialise(calls.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct(), "calls")
+    wanted = calls.select(F.col(id_col).alias("id"), F.explode(parents_col).alias("up")).filter("id IS NOT NULL AND up IS NOT NULL").distinct()
+    edges = materialise(_follow(wanted, ids.select(F.col("id").alias("up")), "up", hot_rows), "calls")
+    counted = edges.groupBy("id").agg(F.count("*").alias("n_up"), F.min("up").alias("up"))
+    # each call points to its only parent, or else to itself: it is an anchor
+    one = F.col("n_up") == 1
+    now = ids.join(counted.hint("shuffle_hash"), "id", "left").select("id", F.when(one, F.col("up")).alias("up"), F.when(one, 1).otherwise(0).cast("long").alias("d"), F.coalesce("n_up", F.lit(0)).alias("n_up"))
+    now = materialise(now.withColumn("anchor", F.when(F.col("up").isNull(), F.col("id"))), "calls")
+    for _ in range(max(1, ids.count()).bit_length() + 1):
+        going = now.filter("anchor IS NULL")
+        if not going.limit(1).count():
+            break
+        there = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), F.col("anchor").alias("end"))
+        step = _follow(going, there, "up", hot_rows).select("id", F.col("next").alias("up"), (F.col("d") + F.col("more")).alias("d"), "n_up", F.col("end").alias("anchor"))
+        now = materialise(step.unionByName(now.filter("anchor IS NOT NULL")), "calls")
+    roots = now.filter("n_up = 0").select(F.col("id").alias("anchor"), F.lit(0).cast("long").alias("base"))
+    joints = now.filter("n_up > 1").select("id")
+    placed = roots
+    if joints.limit(1).count():
+        ends = now.select(F.col("id").alias("up"), "anchor", (F.col("d") + 1).alias("w"))
+        meet = _follow(edges.join(joints.hint("shuffle_hash"), "id", "left_semi"), ends, "up", hot_rows).select("id", "anchor", "w")  # of chains that end in a cycle, anchor is null
+        meet = materialise(meet, "calls")
+        waiting = materialise(meet.groupBy("id").agg(F.count("*").alias("need"), F.lit(0).cast("long").alias("best")), "calls")
+        front = roots
+        while True:
+            given = _follow(meet.filter("anchor IS NOT NULL"), front, "anchor", hot_rows).groupBy("id").agg(F.count("*").alias("came"), F.max(F.col("base") + F.col("w")).alias("at"))
+            left = waiting.join(given.hint("shuffle_hash"), "id", "left").select("id", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", F.coalesce("at", F.lit(0))).alias("best"))
+            left = materialise(left, "calls")
+            front = left.filter("need = 0").select(F.col("id").alias("anchor"), F.col("best").alias("base"))
+            if not front.limit(1).count():
+                break
+            placed, waiting = placed.unionByName(front), left.filter("need > 0")
+    known = _follow(now.filter("anchor IS NOT NULL").select("id", "d", "anchor"), placed, "anchor", hot_rows).select("id", (F.col("base") + F.col("d")).alias("position"))
+    return ids.join(known.hint("shuffle_hash"), "id", "left").select(F.col("id").alias(id_col), "position")
+
+
+def link(calls: DataFrame, results: DataFrame, schema: Mapping[str, Any], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row for each identifier of calls (call_id, parent_ids, name, arguments) and results (call_id, content).
 
     Columns: call_id, position, is_call, answered, n_violations, violations (comma-joined), record (canonical JSON of
-    arguments, id, name and result; arguments that can't be parsed are null there), n_copies. Calls or results that
-    repeat an identifier collapse to the least (n_copies counts the calls); rows without an identifier are dropped, as
-    nothing can be linked to them. A result without a call has is_call false and a null position.
+    arguments, id, name and result; arguments that can't be parsed are null there), n_copies, n_calls, n_results. Calls or
+    results that repeat an identifier collapse to the least: n_copies counts the calls, n_calls and n_results the different
+    ones, so that more than 1 tells of a conflict. Rows without an identifier are dropped, as nothing can be linked to
+    them. A result without a call has is_call false and a null position. Other columns are not read.
     """
-    one_call = calls.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("name", "arguments", "parent_id")).alias("c"), F.count("*").alias("n_copies"))
-    one_result = results.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct(F.col("content").isNull().alias("none"), F.col("content"))).alias("r"))
-    ranks = positions(one_call.select("call_id", F.col("c.parent_id").alias("parent_id")))
-    met = one_call.join(ranks, "call_id").join(one_result, "call_id", "full_outer")
+    # copies are counted away first, so that an identifier of very many rows meets itself only after that
+    parents = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("parent_ids", F.array().cast("array<string>")))))
+    each_call = calls.filter(F.col("call_id").isNotNull()).select("call_id", "name", "arguments", parents.alias("parent_ids")).groupBy("call_id", "name", "arguments", "parent_ids").agg(F.count("*").alias("n"))
+    one_call = each_call.groupBy("call_id").agg(F.min(F.struct("name", "arguments", "parent_ids")).alias("c"), F.sum("n").alias("n_copies"), F.count("*").alias("n_calls"))
+    each_result = results.filter(F.col("call_id").isNotNull()).select("call_id", "content").distinct()
+    one_result = each_result.groupBy("call_id").agg(F.min(F.struct(F.col("content").isNull().alias("none"), F.col("content"))).alias("r"), F.count("*").alias("n_results"))
+    ranks = positions(one_call.select("call_id", F.col("c.parent_ids").alias("parent_ids")), hot_rows=hot_rows)
+    met = one_call.join(ranks.hint("shuffle_hash"), "call_id").join(one_result.hint("shuffle_hash"), "call_id", "full_outer")
     broken = violations(F.col("c.arguments"), schema)
     record = F.to_json(F.struct(F.try_parse_json(F.col("c.arguments")).alias("arguments"), F.col("call_id").alias("id"), F.col("c.name").alias("name"), F.col("r.content").alias("result")), {"ignoreNullFields": "false"})
     is_call = F.col("c").isNotNull()
-    return met.select("call_id", "position", is_call.alias("is_call"), (is_call & F.col("r").isNotNull()).alias("answered"), F.when(is_call, broken).alias("broken"), record.alias("record"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies")).select(
-        "call_id", "position", "is_call", "answered", F.coalesce(F.size("broken"), F.lit(0)).cast("long").alias("n_violations"), F.coalesce(F.array_join("broken", ","), F.lit("")).alias("violations"), "record", "n_copies"
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copies", "n_calls", "n_results")]
+    return met.select("call_id", "position", is_call.alias("is_call"), (is_call & F.col("r").isNotNull()).alias("answered"), F.when(is_call, broken).alias("broken"), record.alias("record"), *counts).select(
+        "call_id", "position", "is_call", "answered", F.coalesce(F.size("broken"), F.lit(0)).cast("long").alias("n_violations"), F.coalesce(F.array_join("broken", ","), F.lit("")).alias("violations"), "record", "n_copies", "n_calls", "n_results"
     )
 
 
@@ -105,20 +146,21 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     turns = conversations.select("conv_id", "turn", "role", "text").filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
-    calls = turns.filter(F.col("role") == "user").select(name(0).alias("call_id"), name(2).alias("parent_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    calls = turns.filter(F.col("role") == "user").select(name(0).alias("call_id"), F.array(name(2)).alias("parent_ids"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     return calls, turns.filter(F.col("role") == "assistant").select(name(1).alias("call_id"), F.col("text").alias("content"))
 
 
 def op2_tool_calls(conversations: DataFrame) -> DataFrame:
     linked = link(*from_turns(conversations), SCHEMA)
-    return linked.select("call_id", "position", "is_call", "answered", "n_violations", "violations", F.length("record").cast("long").alias("record_chars"), F.sha2("record", 256).alias("record_sha256"), "n_copies")
+    return linked.select("call_id", "position", "is_call", "answered", "n_violations", "violations", F.length("record").cast("long").alias("record_chars"), F.sha2("record", 256).alias("record_sha256"), "n_copies", "n_calls", "n_results")
 
 
 OP2_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 n AS (SELECT conv_id, turn, count(*) AS n_copies FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 c AS (SELECT conv_id, turn, min(text) AS prompt FROM t WHERE role = 'user' GROUP BY ALL),
-r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
+v AS (SELECT conv_id, turn, count(*) AS n_calls FROM t WHERE role = 'user' GROUP BY ALL),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM t WHERE role = 'assistant' GROUP BY ALL),
 g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
 p AS (SELECT conv_id, turn, prompt, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS position FROM g),
 m AS (
@@ -131,7 +173,7 @@ m AS (
       CASE WHEN p.turn < 0 THEN 'turn:minimum' END], lambda x: x IS NOT NULL) END AS broken,
     '{"arguments":' || CASE WHEN p.conv_id IS NULL THEN 'null' ELSE '{"prompt":' || to_json(prompt)::VARCHAR || ',"turn":' || p.turn || '}' END
       || ',"id":"' || call_id || '","name":' || CASE WHEN p.conv_id IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record,
-    coalesce(n_copies, 0) AS n_copies
-  FROM p JOIN n USING (conv_id, turn) FULL JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn)
-SELECT call_id, position, is_call, answered, len(broken)::BIGINT AS n_violations, array_to_string(broken, ',') AS violations, length(record)::BIGINT AS record_chars, sha256(record) AS record_sha256, n_copies FROM m
+    coalesce(n_copies, 0) AS n_copies, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results
+  FROM p JOIN n USING (conv_id, turn) JOIN v USING (conv_id, turn) FULL JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn)
+SELECT call_id, position, is_call, answered, len(broken)::BIGINT AS n_violations, array_to_string(broken, ',') AS violations, length(record)::BIGINT AS record_chars, sha256(record) AS record_sha256, n_copies, n_calls, n_results FROM m
 """

@@ -100,14 +100,15 @@ def test_warc_damage_is_found(spark, tmp_path):
 
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
-        [("a", None, "t", '{"prompt":"a long enough prompt here","turn":1}'), ("b", "a", "t", '{"turn": 1.5, "z": 1, "prompt":"x"}'), ("c", "b", "t", "no json"), ("d", "gone", "t", '{"turn":-1}'), ("e", "f", "t", "[1]"), ("f", "e", "t", "{}"), ("g", "e", "t", None), ("a", None, "t", '{"prompt":"a long enough prompt here","turn":1}'), (None, None, "t", "{}")],
-        "call_id string, parent_id string, name string, arguments string",
+        [("a", [], "t", '{"prompt":"a long enough prompt here","turn":1}'), ("b", ["a"], "t", '{"turn": 1.5, "z": 1, "prompt":"x"}'), ("c", ["b"], "t", "no json"), ("d", ["gone"], "t", '{"turn":-1}'), ("e", ["f"], "t", "[1]"), ("f", ["e"], "t", "{}"), ("g", ["e"], "t", None), ("a", None, "t", '{"prompt":"a long enough prompt here","turn":1}'), (None, None, "t", "{}")],
+        "call_id string, parent_ids array<string>, name string, arguments string",
     )
-    results = spark.createDataFrame([("a", "ok"), ("a", "ok"), ("x", "orphan"), ("c", None), (None, "lost")], "call_id string, content string")
+    results = spark.createDataFrame([("a", "ok"), ("a", "ok"), ("a", "other"), ("x", "orphan"), ("c", None), (None, "lost")], "call_id string, content string")
     got = {r["call_id"]: r for r in toolcalls.link(calls, results, toolcalls.SCHEMA).collect()}
     assert set(got) == set("abcdefgx")
     assert {k: got[k]["position"] for k in "abcdefg"} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": None, "f": None, "g": None}
     assert got["a"]["violations"] == "" and got["a"]["n_copies"] == 2 and got["a"]["answered"] and got["c"]["answered"] and not got["b"]["answered"]
+    assert (got["a"]["n_calls"], got["a"]["n_results"], got["b"]["n_results"], got["x"]["n_calls"], got["x"]["n_results"]) == (1, 2, 0, 0, 1)
     assert got["b"]["violations"] == ":additionalProperties,prompt:minLength,turn:type"
     assert got["c"]["violations"] == got["e"]["violations"] == got["g"]["violations"] == ":object"
     assert got["d"]["violations"] == "prompt:required,turn:minimum" and got["f"]["violations"] == "prompt:required,turn:required"
@@ -116,6 +117,23 @@ def test_tool_calls(spark):
     assert toolcalls.op2_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_positions_in_a_graph(spark, hot):
+    rng = random.Random(hot)
+    parents = {f"n{k:03}": [] for k in range(120)}
+    for k in range(1, 120):
+        parents[f"n{k:03}"] = [f"n{k - 1:03}"] if k < 40 else ["n005"] if k < 60 else [f"n{rng.randrange(k):03}" for _ in range(rng.randrange(4))]
+    parents |= {"x": ["y"], "y": ["x"], "z": ["y", "n003"], "zz": ["z"], "self": ["self"], "lost": ["nowhere", None]}
+    want: dict = {}
+    for _ in parents:  # as many passes as there are calls settle all that no cycle holds
+        for i, up in parents.items():
+            known = [want.get(u) for u in up if u in parents]
+            if i not in want and None not in known:
+                want[i] = 1 + max(known, default=-1)
+    got = dict(toolcalls.positions(spark.createDataFrame([(i, u or None) for i, u in parents.items()], "call_id string, parent_ids array<string>"), hot_rows=hot).collect())
+    assert got == {i: want.get(i) for i in parents} and max(want.values()) >= 39
+
+
 def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": [1, {"z":2, "a": "é\\n"}], "a":null }',), ("{",), (None,)], "j string")
     assert [r[0] for r in df.select(toolcalls.canonical(F.col("j"))).collect()] == ['{"a":null,"b":[1,{"a":"é\\n","z":2}]}', None, None]
