@@ -13,8 +13,8 @@ Each task packs what it reads: nothing is shuffled, and memory is one lot. A los
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,39 +24,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_UNSAFE = re.compile(r"\s \s")
-
 
 class Encoder:
-    """Ids of a byte-level BPE, as the tokenizers library gives them without added special tokens.
-
-    Words that follow a single space are encoded once and then looked up: before a space that follows no white space the
-    vocabulary's pattern always parts, so a text's ids are those of its parts. Texts with runs of white space around a space are
-    encoded whole, and texts that hold a special token's name by the tokenizers library itself.
-    """
+    """Ids of a byte-level BPE, as the tokenizers library gives them without added special tokens; texts that hold a special token's name by that library itself. Ids must be below 65,536."""
 
-    def __init__(self, tokenizer: str | None = None, ranks: str | None = None, pattern: str | None = None, most: int = 400_000):
+    def __init__(self, tokenizer: str | None = None, ranks: str | None = None, pattern: str | None = None):
         import public_tokenizers
         import tiktoken
 
         self.path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(table.values()) >= 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.bpe = tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.whole = None
-        self.most = most
-        self.words: dict[str, bytes] = {}
-        self.opens = np.zeros(max(table.values()) + 1, bool)  # tokens that begin with a space
-        self.opens[[k for token, k in table.items() if token[:1] == b" "]] = True
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that each follow a space, encoded in one go: a token that begins with a space begins a word."""
-        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(words)), "<u2")
-        starts = np.flatnonzero(self.opens[ids]) * 2
-        raw, ends = ids.tobytes(), np.append(starts[1:], 2 * len(ids))
-        if len(starts) != len(words):
-            return {w: np.array(self.bpe.encode_ordinary(" " + w), "<u2").tobytes() for w in words}
-        return {w: raw[a:b] for w, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True)}
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" in text and "<|endoftext|>" in text:
@@ -65,23 +47,12 @@ class Encoder:
 
                 self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-        if _UNSAFE.search(text):
-            return np.array(self.bpe.encode_ordinary(text), np.uint16)
-        first, *rest = text.split(" ")
-        known = self.words
-        if new := [w for w in dict.fromkeys(rest) if w not in known]:
-            found = self._learn(new)
-            if len(known) + len(new) <= self.most:
-                known.update((w, v) for w, v in found.items() if len(w) < 64)
-            if len(found) and (len(known) + len(new) > self.most or max(map(len, new)) >= 64):
-                known = {w: found[w] if w in found else known[w] for w in dict.fromkeys(rest)}
-        head = np.array(self.bpe.encode_ordinary(first), "<u2").tobytes() if first else b""
-        return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), "<u2")
+        return np.frombuffer(array("H", self.bpe.encode_ordinary(text)), np.uint16)
 
 
 @lru_cache(1)
 def encoder(tokenizer: str | None, ranks: str | None, pattern: str | None) -> Encoder:
-    """One for each Python worker, which keeps its words from task to task."""
+    """One for each Python worker, kept from task to task."""
     return Encoder(tokenizer, ranks, pattern)
 
 
@@ -201,11 +172,12 @@ class Packer:
 _SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokens: int = 1024, segments: int = 256, loss: int = 1024, lot: int = 4096, end_id: int = 0, tokenizer: str | None = None, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, prompt_end: str | None = None, tokens: int = 1024, segments: int = 256, loss: int = 1024, lot: int = 4096, end_id: int = 0, tokenizer: str | None = None, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     Every document ends with end_id; a null or empty text is that id alone. prompt_col: how many leading tokens bear no
-    loss (null or none: 0). Repeated rows and null ids are packed like any other; an empty table gives no rows. Other columns
+    loss (null or none: 0); prompt_end: the tokens of the text before the first place where this is bear none, as an
+    instruction before its answer (nowhere: all bear loss). Repeated rows and null ids are packed like any other; an empty table gives no rows. Other columns
     are not read. tokenizer, ranks and pattern: the vocabulary's files and its pattern.
     """
 
@@ -231,7 +203,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
 
         for batch in batches:
             for doc, text, prompt in zip(*(batch.column(k) for k in range(3)), strict=True):
-                note(packer.add(doc.as_py(), np.concatenate([words.ids(text.as_py() or ""), end]), prompt.as_py() or 0))
+                whole = text.as_py() or ""
+                free = prompt.as_py() or 0
+                if prompt_end and (k := whole.find(prompt_end)) > 0:
+                    free = max(free, len(words.ids(whole[:k])))
+                note(packer.add(doc.as_py(), np.concatenate([words.ids(whole), end]), free))
                 if len(rows) > 20_000:
                     yield out()
         note(packer.finish())
@@ -244,4 +220,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prompt
 
 
 def op9_packing(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    """The query's columns. A document's first line counts as its prompt, which bears no loss."""
+    return pack(docs, prompt_end="\n").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")

@@ -651,6 +651,23 @@ def test_packing_limits():
         assert len(s) <= 4 and sum(len(p.ids) for p in s) <= 64 and sum(p.loss for p in s) <= 30
 
 
+def test_packing_by_all_three_dimensions(spark):
+    """Documents of one size and different prompts: what is left of each limit decides what goes in, so the loss dimension changes the choice."""
+    rng = random.Random(5)
+    sizes = [rng.randrange(20, 400) for _ in range(300)]
+    prompts = [rng.randrange(n) for n in sizes]
+
+    def sequences(free):
+        packer = packing.Packer()
+        out = [s for k, n in enumerate(sizes) for s in packer.add(k, np.zeros(n, np.uint16), free[k])]
+        return [[(p.doc, p.start) for p in s] for s in [*out, *packer.finish()]]
+
+    assert sequences(prompts) != sequences([0] * 300)
+    (one, two) = packing.pack(spark.createDataFrame([(1, "first line here\nanswer"), (2, "no line")], "doc_id long, text string"), prompt_end="\n").groupBy("doc_id").agg(F.sum("loss_tokens"), F.first("doc_tokens")).orderBy("doc_id").collect()
+    first = len(packing.encoder(None, None, None).ids("first line here"))
+    assert one[1] == one[2] - first and first == 3 and two[1] == two[2]
+
+
 # 10
 
 
