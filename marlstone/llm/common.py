@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from marlstone.plans.scratch import cut as materialise
 from marlstone.plans.scratch import folder as scratch_path
 from marlstone.plans.scratch import plain_unions
 
-__all__ = ["join_stats", "materialise", "plain_unions", "scratch_path", "signed", "table"]
+__all__ = ["join_stats", "map_rows", "materialise", "placed", "plain_unions", "scratch_path", "signed", "table"]
 
 #: A key with at least this many rows is hot: its row of the other side is broadcast. There are at most rows / HOT_ROWS such keys.
 HOT_ROWS = 200_000
@@ -22,6 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], longs: Sequence[str] = ()) -> DataFrame:
+    """df through mapInArrow, whatever its columns are called (they are c0, c1 and so on in run), with further columns of longs."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    schema = S.StructType([*(S.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)), *(S.StructField(c, S.LongType()) for c in longs)])
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns, *longs)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """docs and, of each row, its file (hashed) and its place in it, which tell rows apart. What isn't a table's scan is written first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"])
+    except AnalysisException:
+        docs = materialise(docs, "placed")
+        at = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(at["file_path"]), at["row_index"]
+
+
 def join_stats(left: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
     """Join left with stats (one row for each key, with the number of left rows in count) so that no task gets all rows of a hot key.
 

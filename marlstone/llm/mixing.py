@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import HOT_ROWS, join_stats, materialise
+from marlstone.llm.common import HOT_ROWS, join_stats, materialise, placed
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 65_536
@@ -156,15 +155,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     Rows are told apart by their file and place in it, so docs must be a table's scan; anything else is written first. Of the
     text, one shuffle moves all of it, at every size: what is taken has no bound that would let it be broadcast.
     """
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    try:
-        docs.select(place)
-    except AnalysisException:
-        docs = materialise(docs, "mix-docs")
-    mixed = mix(docs, id_col, source_col, text_col, row=place, **options).filter("copies > 0").select(F.col("row.f").alias("_f"), F.col("row.i").alias("_i"), F.col("copies").alias("_copies"))
-    placed = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    met = placed.join(mixed.hint("merge"), ["_f", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return met.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    docs, file, index = placed(docs)
+    mixed = mix(docs, id_col, source_col, text_col, row=F.struct(file.alias("f"), index.alias("i")), **options).filter("copies > 0").select(F.col("row.f").alias("_f"), F.col("row.i").alias("_i"), F.col("copies").alias("_copies"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], file.alias("_f"), index.alias("_i"))
+    met = rows.join(mixed.hint("merge"), ["_f", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return met.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 def op3_pareto_mixing(docs: DataFrame) -> DataFrame:

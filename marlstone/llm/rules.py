@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
+
+from marlstone.llm.common import map_rows
 
 #: Labelled rows that the list is fitted on: the ids with the least hashes, so the choice doesn't hang on row order.
 MAX_LABELLED = 20_000
@@ -96,7 +97,7 @@ def statistics(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pr
             table = np.array(rows, np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names)))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, S.StructType([*docs.schema.fields, *(S.StructField(c, S.LongType()) for c in names)]))
+    return map_rows(docs, run, names)
 
 
 #: What rules may test: shares of the statistics, each with a numerator and a denominator.

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import map_rows
+
 _I = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run under 20 characters fails wherever it is entered
@@ -170,7 +172,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 columns[size] = pa.array([old if c is t else len(c) for old, c, t in zip(columns[size].to_pylist(), clean, texts, strict=True)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op5_secret_scan(docs: DataFrame) -> DataFrame:

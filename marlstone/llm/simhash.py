@@ -14,8 +14,9 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from marlstone.llm.common import join_stats, materialise, signed
 from marlstone.llm.components import connected_components
@@ -44,17 +45,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, beside_col: str | None = None) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long; with beside_col (a long), that as beside."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, beside: Column | None = None) -> DataFrame:
+    """(id, fp): the fingerprint of each row as a signed long; with beside, that as a further column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["id", "fp", "beside"][: batch.num_columns])
 
-    more = [F.col(beside_col).cast("long").alias("beside")] if beside_col else []
+    more = [] if beside is None else [beside.alias("beside")]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
-    return source.mapInArrow(run, "id long, fp long" + ", beside long" * len(more))
+    return source.mapInArrow(run, S.StructType([S.StructField("id", S.LongType()), S.StructField("fp", S.LongType()), *source.schema.fields[2:]]))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -127,14 +128,14 @@ def links(fps: DataFrame, distance: int = 3, blocks: int | None = None, cell: in
     return cells.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int | None = None, cell: int = CELL, hot_rows: int = 200_000, beside_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int | None = None, cell: int = CELL, hot_rows: int = 200_000, beside: Column | None = None) -> DataFrame:
     """One row for each row of docs: id, fp (signed long), component_id (the smallest id that links reach), component (the
-    same for the rows of a component, and for no others, even where ids repeat); with beside_col (a long), that as beside.
+    same for the rows of a component, and for no others, even where ids repeat); with beside, that as a further column.
 
     Null or wordless texts have fingerprint zero and are linked like any other. A null id keeps its row; it counts as no
     id, so a component of null ids has a null component_id. Repeated rows stay repeated. Other columns of docs are not read.
     """
-    own = materialise(fingerprints(docs, id_col, text_col, shingle, beside_col), "simhash")
+    own = materialise(fingerprints(docs, id_col, text_col, shingle, beside), "simhash")
     each = materialise(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-each")
     joined = connected_components(links(each.select("fp"), distance, blocks, cell), "a", "b", hot_rows)
     linked = each.join(joined, each["fp"] == joined["node"], "inner").select("fp", "least", "n", "component")
