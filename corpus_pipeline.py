@@ -8,30 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, packing, rules, secrets, simhash
-from marlstone.llm.common import materialise, scratch_path, table
+from marlstone.llm.common import join_stats, materialise, placed, scratch_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep; null and wordless texts go."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
-    return rules.judge(docs, learned, prefix="_q_").filter("_q_kept").select(*docs.columns)
+    return rules.judge(docs, learned, prefix=prefix).filter(prefix + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each SimHash component. Rows of the component that share it as well: the least by their texts and other columns. Rows that share an id alone all stay, as does a row without one."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = materialise(simhash.near_duplicates(keyed, beside_col="_hash").filter("id IS NOT NULL").groupBy("id", "component", "component_id", F.col("beside").alias("_hash")).agg(F.count("*").alias("n")), "near")
-    gone = found.filter("id > component_id").select("id", "_hash")
-    least = found.filter("id = component_id")
-    shared = least.groupBy("id", "component").agg(F.sum("n").alias("rows")).filter("rows > 1").select("id", "component")
-    shared = materialise(least.join(shared, ["id", "component"], "left_semi").select("id", "_hash", "component"), "near-shared")
-    here = (F.col("doc_id") == F.col("id")) & (F.col("_hash") == F.col("_other"))
-    left = keyed.join(gone.unionByName(shared.select("id", "_hash")).withColumnRenamed("_hash", "_other"), here, "left_anti").select(*docs.columns)
-    if not shared.limit(1).count():
-        return left
-    rest = F.struct(*[c for c in docs.columns if c != "doc_id"]).alias("_rest")
-    chosen = keyed.select("doc_id", "_hash", rest).join(shared.withColumnRenamed("_hash", "_other"), here).groupBy("doc_id", "component").agg(F.min("_rest").alias("_row"))
-    return left.unionByName(chosen.select("doc_id", "_row.*").select(*docs.columns))
+    """One row of each SimHash component: the one with the smallest id, of several such rows the least by the hashes of their texts and other columns; a null id comes last. Rows are told apart by their place in their file, so rows that share an id alone all stay."""
+    docs, file, index = placed(docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.xxhash64("text").alias("t"), (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)).cast("long").alias("o"), file.alias("f"), index.alias("i"))
+    found = materialise(simhash.near_duplicates(docs, beside=row).select("component", "id", "beside.*"), "near")
+    first = found.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "o", "f", "i")).alias("first")).filter("n > 1")
+    gone = join_stats(found, first, "component", "n").filter("NOT (f = first.f AND i = first.i)").select(F.col("f").alias("_f"), F.col("i").alias("_i"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], file.alias("_f"), index.alias("_i"))
+    return rows.join(gone, ["_f", "_i"], "left_anti").select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +38,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's target takes: none, one or two rows."""
-    return mixing.take(docs)
+    """As many copies of each document as its source's target takes: none, one or two rows, more of those with diverse words."""
+    return mixing.take(docs, worth=mixing.diversity(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 1024 tokens."""
-    return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    return packing.pack(docs, prompt_end="\n").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("near-duplicates", near_dedup), ("secret scan", secret_scan), ("source mix", mix), ("packing", pack)]
