@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.keyed import HOT_ROWS, follow, join_stats
 from marlstone.plans.scratch import cut, fresh
 
 
@@ -51,21 +52,54 @@ def missing_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes_of(edges).join(nodes, ["graph_id", "id"], "left_anti")
 
 
-def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, most: int = 10_000) -> DataFrame:
-    """(graph_id, id, layer): the longest distance from a root. Nodes on or after a cycle are absent. A round for each layer."""
-    left = cut(nodes if nodes is not None else nodes_of(edges))
-    e = cut(edges.select("graph_id", "src", "dst").distinct())
-    out = None
-    for layer in range(most):
-        ready = left.join(e.select("graph_id", F.col("dst").alias("id")).distinct(), ["graph_id", "id"], "left_anti")
-        ready = cut(ready)
-        if not ready.limit(1).count():
+def longest_chains(ids: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, position) of ids (id): the most edges (id, up) that lead from it upwards, one after another; null in or after a cycle.
+
+    Nodes with one edge up are followed by pointer doubling, in as many rounds as the logarithm of their chain's length; only
+    where several edges lead up from a node, the graph of such nodes is peeled layer by layer. Edges to nodes that aren't there
+    don't count. Rows that look for one node are split if they are very many.
+    """
+    ids = cut(ids.select("id").distinct(), "chains")
+    edges = cut(follow(edges.select("id", "up").distinct(), ids.select(F.col("id").alias("up")), "up", hot_rows), "chains")
+    counted = edges.groupBy("id").agg(F.count("*").alias("n_up"), F.min("up").alias("up"))
+    # each node points to its only parent, or else to itself: it is an anchor
+    one = F.col("n_up") == 1
+    now = ids.join(counted.hint("shuffle_hash"), "id", "left").select("id", F.when(one, F.col("up")).alias("up"), F.when(one, 1).otherwise(0).cast("long").alias("d"), F.coalesce("n_up", F.lit(0)).alias("n_up"))
+    now = cut(now.withColumn("anchor", F.when(F.col("up").isNull(), F.col("id"))), "chains")
+    for _ in range(max(1, ids.count()).bit_length() + 1):
+        going = now.filter("anchor IS NULL")
+        if not going.limit(1).count():
             break
-        row = ready.withColumn("layer", F.lit(layer))
-        out = row if out is None else out.unionByName(row)
-        left = cut(left.join(ready, ["graph_id", "id"], "left_anti"))
-        e = cut(e.join(ready.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"], "left_anti"))
-    return out if out is not None else left.limit(0).withColumn("layer", F.lit(0))
+        there = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), F.col("anchor").alias("end"))
+        step = follow(going, there, "up", hot_rows).select("id", F.col("next").alias("up"), (F.col("d") + F.col("more")).alias("d"), "n_up", F.col("end").alias("anchor"))
+        now = cut(step.unionByName(now.filter("anchor IS NOT NULL")), "chains")
+    roots = now.filter("n_up = 0").select(F.col("id").alias("anchor"), F.lit(0).cast("long").alias("base"))
+    joints = now.filter("n_up > 1").select("id")
+    placed = roots
+    if joints.limit(1).count():
+        ends = now.select(F.col("id").alias("up"), "anchor", (F.col("d") + 1).alias("w"))
+        meet = follow(edges.join(joints.hint("shuffle_hash"), "id", "left_semi"), ends, "up", hot_rows).select("id", "anchor", "w")  # of chains that end in a cycle, anchor is null
+        meet = cut(meet, "chains")
+        waiting = cut(meet.groupBy("id").agg(F.count("*").alias("need"), F.lit(0).cast("long").alias("best")), "chains")
+        front = roots
+        while True:
+            given = follow(meet.filter("anchor IS NOT NULL"), front, "anchor", hot_rows).groupBy("id").agg(F.count("*").alias("came"), F.max(F.col("base") + F.col("w")).alias("at"))
+            left = waiting.join(given.hint("shuffle_hash"), "id", "left").select("id", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", F.coalesce("at", F.lit(0))).alias("best"))
+            left = cut(left, "chains")
+            front = left.filter("need = 0").select(F.col("id").alias("anchor"), F.col("best").alias("base"))
+            if not front.limit(1).count():
+                break
+            placed, waiting = placed.unionByName(front), left.filter("need > 0")
+    known = follow(now.filter("anchor IS NOT NULL").select("id", "d", "anchor"), placed, "anchor", hot_rows).select("id", (F.col("base") + F.col("d")).alias("position"))
+    return ids.join(known.hint("shuffle_hash"), "id", "left").select("id", "position")
+
+
+def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, id, layer): the longest distance from a root. Nodes on or after a cycle are absent."""
+    node = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+    every = (nodes if nodes is not None else nodes_of(edges)).select(node("id").alias("id"))
+    found = longest_chains(every, edges.select(node("dst").alias("id"), node("src").alias("up"))).filter("position IS NOT NULL")
+    return found.select("id.graph_id", "id.id", F.col("position").cast("int").alias("layer"))
 
 
 def is_dag(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -147,27 +181,43 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     return e.join(implied, ["graph_id", "src", "dst"], "left_anti")
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, most: int = 100) -> DataFrame:
-    """(node, component): the least node of each component of undirected edges, by alternating star steps."""
-    now = cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u != v").distinct())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        around = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        met = around.join(least, "u")
-        if large:
-            out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.filter("u != v").distinct()
-
-    for _ in range(most):
-        after = cut(star(star(now, True), False))
-        if not after.exceptAll(now).limit(1).count() and not now.exceptAll(after).limit(1).count():
-            stars = after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return stars.union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now = after
-    raise RuntimeError("components did not settle")
+def _star(edges: DataFrame, large: bool, hot_rows: int) -> DataFrame:
+    """One star step over edges (u > v). Large: every larger neighbour of a node is linked to the node's least neighbour; small: every smaller neighbour and the node itself."""
+    if large:
+        around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        around = edges
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    met = join_stats(around, least, "u", "n", "inner", hot_rows)
+    if large:
+        out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return out.filter(F.col("u") != F.col("v")).distinct()
+
+
+def connected_components(edges: DataFrame, src: str, dst: str, hot_rows: int = HOT_ROWS, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of an edge; component is the least node that can be reached.
+
+    Large-star and small-star steps in turn, until the edges no longer change; each pair is written to the shared folder.
+    Rounds grow with the logarithm of the longest path. Edges with a null end or equal ends are ignored.
+    """
+    now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
+    now = cut(now, "cc")
+    digest = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
+    seen = now.agg(*digest).first()
+    for _ in range(max_rounds):
+        if not seen["n"]:
+            break
+        now = cut(_star(cut(_star(now, True, hot_rows), "cc"), False, hot_rows), "cc")
+        after = now.agg(*digest).first()
+        if after == seen:
+            break
+        seen = after
+    else:
+        raise RuntimeError("components did not settle")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _grouped(edges: DataFrame, nodes: DataFrame, fn: Callable[[list, dict], pd.DataFrame], schema: str) -> DataFrame:
