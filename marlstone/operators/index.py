@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from marlstone.operators import retrieve
+
 FORMAT = 1
 
 
@@ -81,6 +83,19 @@ def chunks_from_json(lines: DataFrame, schema: S.StructType) -> DataFrame:
     return checked.select("c.*")
 
 
+def check_dimension(existing: DataFrame, new: DataFrame, vector: str = "vector") -> None:
+    """Raise if the vectors of both tables aren't of one size."""
+    sizes = existing.select(F.size(vector).alias("d")).union(new.select(F.size(vector).alias("d"))).distinct().limit(2).collect()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes[0]['d']} and of {sizes[1]['d']} dimensions in one index")
+
+
+def upsert_vectors(existing: DataFrame, new: DataFrame, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
+    """upsert() of vectors, all of which must be of one size."""
+    check_dimension(existing, new, vector)
+    return upsert(existing, new, key)
+
+
 def save(spark: SparkSession, folder: str, chunks: DataFrame, vectors: DataFrame, paths: DataFrame, chunk_max_tokens: int = 512) -> dict:
     """Write the tables under a new version, then the manifest that names it; readers see the old index until then."""
     versions = vectors.select("model_version", F.size("vector").alias("d")).distinct().limit(2).collect()
@@ -88,7 +103,10 @@ def save(spark: SparkSession, folder: str, chunks: DataFrame, vectors: DataFrame
         raise ValueError("an index holds vectors of one model and size")
     version = uuid.uuid4().hex
     root = f"{folder.rstrip('/')}/{version}"
-    for name, t in (("chunks", chunks), ("vectors", vectors), ("paths", paths)):
+    # postings are sorted by term over all files, so that a question reads the row groups of its terms
+    held = retrieve.with_frequency(retrieve.postings(chunks))
+    lexical = held.repartitionByRange("term").sortWithinPartitions("term")
+    for name, t in (("chunks", chunks), ("vectors", vectors), ("paths", paths), ("postings", lexical), ("stats", retrieve.corpus_stats(chunks))):
         t.write.parquet(f"{root}/{name}")
     read = lambda n: spark.read.parquet(f"{root}/{n}")
     manifest = {"format": FORMAT, "version": version, "chunks": read("chunks").count(), "documents": read("paths").select("doc_id").distinct().count(), "model_version": versions[0]["model_version"] if versions else None, "dimension": versions[0]["d"] if versions else 0, "chunk_max_tokens": chunk_max_tokens}
@@ -105,9 +123,10 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"can't write {path}")
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, options)
 
 
 def load(spark: SparkSession, folder: str, model_version: str | None = None) -> tuple[dict, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -120,3 +139,9 @@ def load(spark: SparkSession, folder: str, model_version: str | None = None) ->
     if model_version is not None:
         vectors = vectors.filter(F.col("model_version") == model_version)
     return manifest, chunks, vectors, read("paths"), chunks.join(vectors, "chunk_id", "left_anti")
+
+
+def load_lexical(spark: SparkSession, folder: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(postings with df, statistics) of a version: the stored inverted index."""
+    root = f"{folder.rstrip('/')}/{version}"
+    return spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/stats")
