@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -69,6 +69,45 @@ def per_case(rels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), totals: DataF
     return found.select(*cols)
 
 
+def cited_relevant(rels: DataFrame, cited: DataFrame, case: str = "case_id", item: str = "chunk_id") -> DataFrame:
+    """(case, cited_relevant): whether one of the items that an answer cites (case, item) is what the case expects; false where it cites none."""
+    found = rels.join(cited.select(case, item).distinct(), [case, item], "left_semi").filter("rel = 1").select(case).distinct().withColumn("_yes", F.lit(True))
+    return rels.select(case).distinct().join(found, case, "left").select(case, F.coalesce("_yes", F.lit(False)).alias("cited_relevant"))
+
+
+def run(cases: DataFrame, hits: DataFrame, answers: DataFrame, texts: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row for each case, as aggregate() takes them: the metrics of its hits (case_id, rank, chunk_id), and of its answer (case_id, answer, grounded, chunk_ids) whether it refused, cites something relevant and holds what it should.
+
+    A case without hits counts as one with no relevant ones; one that no text can satisfy is no fair case (resolvable is false).
+    """
+    rels = judge(hits, cases, texts)
+    metrics = per_case(rels, ks)
+    named = cited_relevant(rels, answers.select("case_id", F.explode("chunk_ids").alias("chunk_id")))
+    good = resolvable(cases, texts).distinct().withColumn("_good", F.lit(True))
+    wants = F.coalesce("expected_answer_contains", F.array().cast("array<string>"))
+    misses = F.filter(wants, lambda w: ~F.contains(T.squash(F.coalesce("answer", F.lit(""))), T.squash(w)))
+    met = cases.join(metrics, "case_id", "left").join(named, "case_id", "left").join(good, "case_id", "left").join(answers.select("case_id", "answer", "grounded"), "case_id", "left")
+    names = [c for c in metrics.columns if c != "case_id"]
+    pinned = F.size(F.coalesce("expected_snippets", F.array().cast("array<string>"))) > 0
+    out = met.select(
+        "case_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], F.col("unanswerable"), (~pinned | F.coalesce("_good", F.lit(False))).alias("resolvable"), (~F.coalesce("grounded", F.lit(False))).alias("refused"),
+        F.lit(0).alias("n_unverified"), F.coalesce("cited_relevant", F.lit(False)).alias("cited_relevant"), (F.size(wants) > 0).alias("answer_checked"), (F.size(misses) > 0).alias("answer_missed"), misses.alias("misses"),
+    )
+    return out.withColumn("correct", verdict(F.col("unanswerable"), F.col("refused"), F.col("misses"), F.col(f"hit_{max(ks)}") > 0))
+
+
+def save_report(metrics: DataFrame, results: DataFrame, path: str) -> None:
+    """Both tables of a report, as JSON lines."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/metrics")
+    results.write.mode("overwrite").json(f"{path.rstrip('/')}/results")
+
+
+def load_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(metrics, results) of a saved report; both can be compared with another's by diff_metrics and diff_cases."""
+    root = path.rstrip("/")
+    return spark.read.schema("metric string, value double").json(f"{root}/metrics"), spark.read.json(f"{root}/results")
+
+
 def verdict(unanswerable: Column, refused: Column, misses: Column, any_relevant: Column) -> Column:
     """An unanswerable case is right if refused; another if it isn't, misses nothing and found something relevant."""
     return F.when(unanswerable, refused).otherwise(~refused & (F.coalesce(F.size(misses), F.lit(0)) <= 0) & any_relevant)

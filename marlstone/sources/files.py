@@ -45,6 +45,26 @@ def screen(length: Column, limits: Limits = Limits(), pages: Column | None = Non
     return out.when(pages > limits.max_pages, "too_many_pages") if pages is not None else out
 
 
+def encrypted(path: Column, content: Column) -> Column:
+    """Whether a file is locked by a password: a PDF that names an encryption dictionary, or an office file in the container that locked ones have. Other files are not read."""
+    ext = extension(path)
+    pdf = F.contains(F.decode(content, "ISO-8859-1"), F.lit("/Encrypt"))
+    office = F.hex(F.substring(content, 1, 8)) == "D0CF11E0A1B11AE1"
+    return F.coalesce(F.when(ext.isin(*PDF), pdf).when(ext.isin(".docx", ".pptx"), office), F.lit(False))
+
+
+def empty_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, length, reason) of files of no bytes, which the engine's scan leaves out. Names are listed by the file system; no file is opened."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    listed, found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, recursive), []
+    while listed.hasNext():
+        one = listed.next()
+        if not one.getLen() and not one.getPath().getName().startswith(("_", ".")):
+            found.append((one.getPath().toString(), 0, "empty"))
+    return spark.createDataFrame(found, "path string, length long, reason string")
+
+
 def screened(files: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(accepted, quarantine)."""
     marked = files.withColumn("reason", screen(F.col("length"), limits))
@@ -78,8 +98,10 @@ def heading_paths(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, limits: Limits = Limits(), recursive: bool = True) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(documents of the text source with doc_id, path and text; quarantine)."""
+    """(documents of the text source with doc_id, path and text; quarantine: empty, too large and encrypted files)."""
     good, bad = screened(scan(spark, folder, recursive), limits)
+    locked = encrypted(F.col("path"), F.col("content"))
+    bad = bad.unionByName(good.filter(locked).select("path", "length", F.lit("encrypted").alias("reason"))).unionByName(empty_files(spark, folder, recursive))
     texts = good.filter(source_of(F.col("path")) == "text").select("path", doc_id(F.col("content")).alias("doc_id"), normalise_text(True)(F.decode("content", "UTF-8")).alias("text"))
     return texts, bad
 
