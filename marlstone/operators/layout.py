@@ -243,6 +243,12 @@ def boilerplate(lines: DataFrame, sizes: DataFrame | None = None, cfg: LayoutCon
     return kept.groupBy("doc_id", "masked").agg(F.max("type").alias("type"))  # a header where it is both
 
 
+def heading_levels(headings: DataFrame, key: str = "doc_id", size: str = "_size") -> DataFrame:
+    """(key, size, _level, _deepest): each size of a document's headings, the largest first, and how many there are."""
+    sizes = headings.select(key, size).distinct()
+    return sizes.withColumn("_level", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(size)))).withColumn("_deepest", F.count("*").over(Window.partitionBy(key)))
+
+
 def layout(spans: DataFrame, sizes: DataFrame | None = None, cfg: LayoutConfig = LayoutConfig()) -> DataFrame:  # noqa: B008
     """(doc_id, reading_order, page, type, level, text, font_size, x0, y0, x1, y1): blocks of documents."""
     kept = dedupe_spans(live_spans(spans), cfg)
@@ -257,8 +263,7 @@ def layout(spans: DataFrame, sizes: DataFrame | None = None, cfg: LayoutConfig =
     heading = (words <= cfg.heading_words) & ((F.col("font_size") >= cfg.heading_ratio * F.col("body")) | ((F.col("bold") >= 0.6) & (F.col("font_size") >= F.col("body")))) & ~F.when(F.length("text") > 1, F.expr("substr(text, 1, length(text) - 1)")).otherwise(F.col("text")).rlike(ENDED)
     kind = F.when((F.col("n") == 1) & F.col("furniture").isNotNull(), F.col("furniture")).when(F.col("first").rlike(BULLET) & ~heading, "list_item").when(F.col("text").rlike(CAPTION) & (words <= cfg.caption_words), "caption").when(heading, "heading").otherwise("paragraph")
     typed = known.withColumn("type", kind).withColumn("_size", F.bround(F.col("font_size") * 2) / 2)
-    head = typed.filter("type = 'heading'").select("doc_id", "_size").distinct()
-    ranks = head.withColumn("_level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("_size")))).withColumn("_deepest", F.count("*").over(Window.partitionBy("doc_id")))
+    ranks = heading_levels(typed.filter("type = 'heading'"))
     levelled = typed.join(ranks, ["doc_id", "_size"], "left")
     level = F.when(F.col("type") == "heading", F.least(F.lit(6), F.when(F.col("_size") <= F.col("body"), F.col("_deepest")).otherwise(F.col("_level"))).cast("int"))
     order = Window.partitionBy("doc_id").orderBy("page", "paragraph")

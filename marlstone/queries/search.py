@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -143,6 +145,16 @@ def _metric_report(s, d, stop):
     return p.agg(F.avg("rr").alias("mrr"), F.avg("ap").alias("map"), F.avg("hit_5").alias("hit_5")).unpivot([], ["mrr", "map", "hit_5"], "metric", "value")
 
 
+def _averages(lexical: str, lx: str, n: str) -> str:
+    """CTEs of the three metrics over ranked lists of a lexical search."""
+    return f"""{lexical}, j{n} AS (SELECT {lx}.query_id AS case_id, rank, contains({_SQUASH.format('d.text')}, {_SQUASH.format('b.text')})::INT AS rel FROM {lx} JOIN documents d ON d.doc_id = {lx}.chunk_id JOIN benchmark b ON b.item_id = {lx}.query_id WHERE rank <= 10),
+    r{n} AS (SELECT *, sum(rel) {_RUN} AS hits FROM j{n}), t{n} AS (SELECT case_id, coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0) AS rr, coalesce(avg(CASE WHEN rel = 1 THEN hits::DOUBLE / rank END), 0) AS ap, max(CASE WHEN rank <= 5 THEN rel END)::DOUBLE AS h FROM r{n} GROUP BY 1),
+    m{n} AS (SELECT unnest(['mrr', 'map', 'hit_5']) AS metric, unnest([avg(rr), avg(ap), avg(h)]) AS value FROM t{n})"""
+
+
+_DIFF_SQL = f"WITH {_averages(_LEX, 'lx', 'a')}, {_averages(re.sub(r'\b(dt|st|po|tf|df|qt|sc|lx)\b', lambda m: m[1] + '2', _LEX_STOP), 'lx2', 'b')} SELECT metric, round(ma.value, 6) AS before, round(mb.value, 6) AS after, round(mb.value - ma.value, 6) AS change FROM ma JOIN mb USING (metric)"
+
+
 def rerank_scores(s, d):
     """The reranker's BM25 over each question's own candidates."""
     c = lexical(s, d).join(chunks(s, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
@@ -192,6 +204,20 @@ QUERIES: dict[str, Query] = {
     "eval_report": Query(lambda s, d: evaluate.aggregate(results(s, d), ["rr", "ap", "hit_5", "precision_5", "ndcg_5"]).select("metric", F.round("value", 6).alias("value")), _METRICS_SQL),
     "report_diff": Query(
         lambda s, d: evaluate.diff_metrics(_metric_report(s, d, False), _metric_report(s, d, True)).select("metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "change")]),
-        None,
+        _DIFF_SQL,
+    ),
+    "case_diff": Query(
+        lambda s, d: evaluate.diff_cases(*[table(s, d, "labels").select(F.col("doc_id").alias("case_id"), c.alias("correct")) for c in (F.col("quality") == 1, F.col("toxic") == 0)]),
+        "SELECT *, fixed - broken AS net FROM (SELECT count(*) FILTER (quality <> 1 AND toxic = 0) AS fixed, count(*) FILTER (quality = 1 AND toxic <> 0) AS broken, count(*) FILTER ((quality = 1) = (toxic = 0)) AS unchanged FROM labels)",
+    ),
+    "recall_at_5": Query(
+        lambda s, d: evaluate.per_case(judged(s, d), (5,), judged(s, d).groupBy("case_id").agg(F.sum("rel").alias("total")).withColumn("total", F.when(F.pmod("case_id", F.lit(5)) != 0, F.col("total") + F.pmod("case_id", F.lit(3)))).filter("total IS NOT NULL")).select("case_id", F.round("recall_5", 6).alias("recall_5")),
+        f"WITH {_JUDGED} SELECT case_id, round(CASE WHEN case_id % 5 = 0 THEN max(CASE WHEN rank <= 5 THEN rel END)::DOUBLE WHEN sum(rel) + case_id % 3 = 0 THEN 0 ELSE least(1, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END)::DOUBLE / (sum(rel) + case_id % 3)) END, 6) AS recall_5 FROM j GROUP BY case_id",
+    ),
+    "cited_relevant": Query(lambda s, d: evaluate.cited_relevant(judged(s, d), judged(s, d).filter("rank <= 2").select("case_id", "chunk_id")), f"WITH {_JUDGED} SELECT case_id, coalesce(max(CASE WHEN rank <= 2 THEN rel END), 0) = 1 AS cited_relevant FROM j GROUP BY 1"),
+    "zero_weight_lists": Query(
+        lambda s, d: fusion.fuse(hits(s, d).withColumn("weight", F.when(F.col("source") == "dense", 0.0).otherwise(2.0)), "rrf", 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
+        f"WITH {_LEX} SELECT query_id, rank, chunk_id, round(2.0::DOUBLE / (60 + rank), 6) AS score FROM lx WHERE rank <= 5",
     ),
+    "stored_index_search": Query(lambda s, d: retrieve.bm25(retrieve.with_frequency(retrieve.postings(chunks(s, d))), retrieve.corpus_stats(chunks(s, d)), retrieve.query_terms(questions(s, d)), 20).withColumn("score", F.round("score", 6)), f"WITH {_LEX} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM lx"),
 }

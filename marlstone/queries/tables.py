@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunk, extract, guard, index, layout
+from marlstone.operators import chunk, extract, guard, index, layout, rows
 from marlstone.queries.base import Query, literals, table
+from marlstone.queries.texts import TOKENS_SQL
 from marlstone.sources import files
 from marlstone.streaming import windows
 
@@ -111,13 +111,21 @@ QUERIES: dict[str, Query] = {
     ),
     "chunk_json": Query(lambda s, d: index.chunk_json(_slots(s, d, 1)).select("chunk_id", F.md5("line").alias("digest")), f"WITH {_C} SELECT chunk_id, md5('{{\"doc_id\":' || doc_id || ',\"chunk_id\":\"' || chunk_id || '\",\"text\":' || to_json(text)::VARCHAR || '}}') AS digest FROM c"),
     "usage_sum": Query(
-        lambda s, d: _conv(s, d).groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", T.estimate_tokens(F.col("text"))).otherwise(0)).alias("tokens_in"), F.sum(F.length("text")).alias("chars"), F.bool_and(F.col("role") == "user").alias("cached")).select("conv_id", "chars", "cached"),
-        "SELECT conv_id, sum(length(text))::BIGINT AS chars, bool_and(role = 'user') AS cached FROM conversations GROUP BY 1",
+        lambda s, d: rows.usage_sum(_conv(s, d).select("conv_id", F.when(F.col("role") != "assistant", T.estimate_tokens(F.col("text"))).otherwise(0).alias("tokens_in"), F.when(F.col("role") == "assistant", T.estimate_tokens(F.col("text"))).otherwise(0).alias("tokens_out"), F.length("text").cast("double").alias("cost"), (F.col("role") == "user").alias("cached")), "conv_id"),
+        f"WITH c AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM conversations), k AS ({TOKENS_SQL.replace('@', 'SELECT id, text FROM c')}) SELECT conv_id, sum(CASE WHEN role <> 'assistant' THEN tokens ELSE 0 END)::BIGINT AS tokens_in, sum(CASE WHEN role = 'assistant' THEN tokens ELSE 0 END)::BIGINT AS tokens_out, sum(length(text))::DOUBLE AS cost, bool_and(role = 'user') AS cached FROM c JOIN k USING (id) GROUP BY 1",
     ),
     "batched": Query(
-        lambda s, d: table(s, d, "benchmark").withColumn("batch", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / 32)).groupBy("batch").agg(F.count("*").alias("items"), F.min("item_id").alias("first")),
+        lambda s, d: rows.batched(table(s, d, "benchmark"), 32, "item_id").groupBy("batch").agg(F.count("*").alias("items"), F.min("item_id").alias("first")),
         "SELECT (row_number() OVER (ORDER BY item_id) - 1) // 32 AS batch, item_id FROM benchmark".join(["SELECT batch, count(*) AS items, min(item_id) AS first FROM (", ") GROUP BY 1"]),
     ),
+    "numbered_rows": Query(lambda s, d: rows.numbered(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "n"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS n FROM orders"),
+    "keep_first": Query(lambda s, d: rows.keep_first(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey"), "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
+    "label_join": Query(lambda s, d: rows.label(_docs(s, d).select("doc_id", "lang"), table(s, d, "labels"), "doc_id"), "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"),
+    "status_counts": Query(lambda s, d: rows.status_counts(table(s, d, "orders"), "o_orderstatus"), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
+    "text_of_items": Query(
+        lambda s, d: _docs(s, d).select("doc_id", F.md5(rows.text_of(F.create_map(F.lit("chunk"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise("")), F.when(F.pmod("doc_id", F.lit(3)) == 1, F.col("lang")), F.col("source"))).alias("digest")),
+        "SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN CASE WHEN text = '' THEN source ELSE text END WHEN 1 THEN lang ELSE source END) AS digest FROM documents",
+    ),
     "body_size_mode": Query(
         lambda s, d: layout.body_size(_spans(s, d)),
         "WITH z AS (SELECT conv_id AS doc_id, CASE WHEN role = 'user' THEN 14.0 ELSE 10.0 END::DOUBLE AS size, sum(length(role || ' ' || (turn * 7))) AS n, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT doc_id, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1",
@@ -130,8 +138,8 @@ QUERIES: dict[str, Query] = {
     ),
     "layout_blocks": Query(lambda s, d: layout.layout(_spans(s, d)).select("doc_id", "reading_order", "page", "type", "level", "text")),
     "heading_levels": Query(
-        lambda s, d: _docs(s, d).select("lang", F.dense_rank().over(Window.partitionBy("lang").orderBy(F.desc(F.bround(F.length("source") * 2.0) / 2))).alias("level"), "source").distinct(),
-        "SELECT DISTINCT lang, dense_rank() OVER (PARTITION BY lang ORDER BY length(source) DESC) AS level, source FROM documents",
+        lambda s, d: layout.heading_levels(_docs(s, d).select(F.col("lang").alias("doc_id"), (F.bround(F.length("source") * 2.0) / 2).alias("_size"))).select("doc_id", F.col("_size").alias("size"), F.col("_level").alias("level"), F.col("_deepest").alias("deepest")),
+        "SELECT lang AS doc_id, size, dense_rank() OVER (PARTITION BY lang ORDER BY size DESC) AS level, count(*) OVER (PARTITION BY lang) AS deepest FROM (SELECT DISTINCT lang, length(source)::DOUBLE AS size FROM documents)",
     ),
     "context_cut": Query(
         _contexts,

@@ -27,7 +27,7 @@ def _blocks(spark, d):
 
 _LATIN = "greatest(length(t) / 4.0::DOUBLE, w * 1.3::DOUBLE, w * 0.9::DOUBLE + len(regexp_extract_all(t, '[^\\p{L}\\p{N}\\p{Z}\\s]')) + len(regexp_extract_all(t, '\\p{Nd}')))"
 _EAST = T._CJK
-_TOKENS = f"SELECT id, CASE WHEN s = '' THEN 0 ELSE greatest(1, floor(c + CASE WHEN trim(t) = '' THEN 0 ELSE {_LATIN} END)) END::BIGINT AS tokens FROM (SELECT id, s, c, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS w FROM (SELECT id, s, len(regexp_extract_all(s, '{_EAST}')) AS c, regexp_replace(s, '{_EAST}', '', 'g') AS t FROM (SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM (@))))"
+TOKENS_SQL = f"SELECT id, CASE WHEN s = '' THEN 0 ELSE greatest(1, floor(c + CASE WHEN trim(t) = '' THEN 0 ELSE {_LATIN} END)) END::BIGINT AS tokens FROM (SELECT id, s, c, t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS w FROM (SELECT id, s, len(regexp_extract_all(s, '{_EAST}')) AS c, regexp_replace(s, '{_EAST}', '', 'g') AS t FROM (SELECT id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM (@))))"
 
 
 def _prices(spark, d):
@@ -75,8 +75,8 @@ QUERIES: dict[str, Query] = {
     ),
     "document_text": Query(lambda s, d: layout.to_text(_blocks(s, d)).select("doc_id", F.md5("text").alias("digest")), "SELECT conv_id AS doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS digest FROM conversations WHERE role <> 'system' GROUP BY 1"),
     "markdown_sink": Query(lambda s, d: layout.to_markdown(_blocks(s, d)).select("doc_id", F.md5("markdown").alias("digest")), "SELECT conv_id AS doc_id, md5(string_agg(CASE WHEN role = 'user' THEN '## ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn, text)) AS digest FROM conversations WHERE role <> 'system' GROUP BY 1"),
-    "token_estimate": Query(lambda s, d: _docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), _TOKENS.replace("@", "SELECT doc_id AS id, text FROM documents").replace("SELECT id, CASE", "SELECT id AS doc_id, CASE", 1)),
-    "cjk_tokens": Query(lambda s, d: _cjk_df(s).select("id", T.estimate_tokens(F.col("text")).alias("tokens")), _TOKENS.replace("@", _cjk_sql)),
+    "token_estimate": Query(lambda s, d: _docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), TOKENS_SQL.replace("@", "SELECT doc_id AS id, text FROM documents").replace("SELECT id, CASE", "SELECT id AS doc_id, CASE", 1)),
+    "cjk_tokens": Query(lambda s, d: _cjk_df(s).select("id", T.estimate_tokens(F.col("text")).alias("tokens")), TOKENS_SQL.replace("@", _cjk_sql)),
     "stem_tokens": Query(
         lambda s, d: _docs(s, d).select(F.explode(F.transform(T.ascii_tokens(F.col("text")), T.stem)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n")),
         """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
