@@ -2,13 +2,16 @@
 
 import json
 import sqlite3
+import threading
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone import cli
-from marlstone.operators import answer, evaluate, fusion, graph, guard, index, layout
-from marlstone.plans import dag, durable, models
+from marlstone.operators import answer, evaluate, fusion, graph, guard, index, layout, retrieve
+from marlstone.plans import dag, durable, models, scratch
 from marlstone.plans.errors import AdapterError, BudgetExceeded, NonRetryable, RateLimited, StepNotReplayable
 from marlstone.sources import files, pdf
 from marlstone.streaming import windows
@@ -59,7 +62,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "d.txt").write_text("voltage is measured in volts")
     docs, bad = files.documents(spark, str(tmp_path), files.Limits(min_bytes=2))
-    assert docs.count() == 2 and [r["reason"] for r in bad.collect()] == ["empty"]
+    assert docs.count() == 2 and sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in bad.collect()) == [("b.bin", "empty"), ("c.txt", "empty")]
     (tmp_path / "cases.jsonl").write_text('# note\n\n{"query": "q1"}\n{"case_id": "x", "query": "q2", "unanswerable": true}\n')
     assert sorted(r["case_id"] for r in files.eval_cases(spark, str(tmp_path / "cases.jsonl")).collect()) == ["case-3", "x"]
     (tmp_path / "bad.jsonl").write_text('{"query": "q"}\n{oops\n')
@@ -190,3 +193,119 @@ def test_streams(spark, tmp_path):
     q = windows.admitted_stream(stream, 2, "event_type").writeStream.outputMode("append").format("memory").queryName("limited").trigger(once=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("limited").collect()} == {tuple(r) for r in windows.admitted(df, 2, "event_type").collect()}
+
+
+def test_long_chains_and_hubs(spark):
+    chain = [(1, f"n{k:04}", f"n{k + 1:04}") for k in range(2000)]
+    hub = [(2, "hub", f"leaf{k}") for k in range(50)] + [(2, f"leaf{k}", "end") for k in range(50)] + [(3, "x", "y"), (3, "y", "x"), (3, "y", "z")]
+    edges = spark.createDataFrame(chain + hub, "graph_id int, src string, dst string")
+    began = time.monotonic()
+    got = {(r["graph_id"], r["id"]): r["layer"] for r in graph.topological_layers(edges).collect()}
+    assert time.monotonic() - began < 300
+    assert got == {(1, f"n{k:04}"): k for k in range(2001)} | {(2, "hub"): 0, (2, "end"): 2} | {(2, f"leaf{k}"): 1 for k in range(50)}
+    few = graph.longest_chains(edges.select(F.col("dst").alias("id")).union(edges.select("src")).filter("id NOT LIKE 'n%'"), edges.filter("graph_id > 1").select(F.col("dst").alias("id"), F.col("src").alias("up")), hot_rows=4)
+    assert dict(few.collect()) == {"hub": 0, "end": 2, "x": None, "y": None, "z": None} | {f"leaf{k}": 1 for k in range(50)}
+    assert dict(graph.connected_components(edges.filter("graph_id > 1"), "src", "dst", hot_rows=4).collect())["leaf7"] == "end"
+
+
+def test_dense_search_of_ties(spark):
+    vectors = spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in range(500)], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([("zero", [0.0, 0.0]), ("one", [0.0, 1.0])], "query_id string, query_vector array<double>")
+    got = retrieve.dense_search(vectors, queries, 5).orderBy("query_id", "rank").collect()
+    assert [r["chunk_id"] for r in got] == [1, 3, 5, 7, 9, 0, 1, 2, 3, 4]
+    source = vectors.select("chunk_id", "vector").repartition(1)
+    run = retrieve._scorer(pa.array(["zero"]), [[0.0, 0.0]], 5, "cosine", "query_id", "chunk_id")
+    (out,) = run(iter(pa.RecordBatch.from_pandas(source.toPandas()) for _ in range(1)))
+    assert out.num_rows == 5
+
+
+def test_bounded_map():
+    running, most, lock = [], [], threading.Lock()
+
+    def call(x):
+        with lock:
+            running.append(x)
+            most.append(len(running))
+        time.sleep(0.01 * (x % 3))
+        with lock:
+            running.remove(x)
+        if x == 30:
+            raise KeyError(x)
+        return x * 2
+
+    assert list(answer.bounded_map(range(20), call, 3)) == [2 * x for x in range(20)] and max(most) <= 3
+    with pytest.raises(KeyError):
+        list(answer.bounded_map(range(40), call, 3))
+    with pytest.raises(ValueError, match="positive"):
+        list(answer.bounded_map([1], call, 0))
+
+
+def test_generated_answers(spark):
+    queries = spark.createDataFrame([("a", "why?"), ("b", "none"), ("c", "what?")], "query_id string, query string")
+    chunks = spark.createDataFrame([(1, "because of it"), (2, "that one")], "chunk_id int, text string")
+    passages = spark.createDataFrame([("a", 1, 1), ("c", 1, 2), ("c", 2, 1)], "query_id string, rank int, chunk_id int")
+    got = {r["query_id"]: r for r in answer.generated(queries, passages, chunks, lambda system, text: "It is so [1] [7]." if "why" in text else "Both [2][1].").collect()}
+    assert got["a"]["answer"] == "It is so [1] [7]." and got["a"]["markers"] == [1] and got["a"]["unverified"] == [7]
+    assert got["b"]["answer"] == answer.REFUSAL and not got["b"]["grounded"] and got["c"]["markers"] == [2, 1]
+
+
+def test_screening_of_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\n\nbody")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>")
+    (tmp_path / "open.pdf").write_bytes(b"%PDF-1.4\ntrailer <<>>")
+    (tmp_path / "locked.docx").write_bytes(bytes.fromhex("D0CF11E0A1B11AE1") + b"x" * 20)
+    good, bad = files.documents(spark, str(tmp_path))
+    assert [r["path"].rsplit("/", 1)[1] for r in good.collect()] == ["a.md"]
+    assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in bad.collect()} == {"empty.txt": "empty", "locked.pdf": "encrypted", "locked.docx": "encrypted"}
+
+
+def test_command_line_index_and_evaluation(spark, tmp_path):
+    docs = tmp_path / "in"
+    docs.mkdir()
+    (docs / "manual.md").write_text("# Safety Manual\n\n## Voltage\n\nThe maximum operating voltage is 48 volts.\n\n## Grounding\n\nGround the chassis first.")
+    (docs / "finance.md").write_text("# Refund Policy\n\n## Processing\n\nA refund takes ten working days.")
+    (docs / "none.txt").write_bytes(b"")
+    out, steps = str(tmp_path / "index"), []
+    made = cli.ingest(spark, str(docs), out, progress=lambda step, n: steps.append(step))
+    assert made["documents"] == 2 and made["n_rejected"] == 1 and steps == ["documents", "chunks", "rejected"]
+    assert cli.ingest(spark, str(docs), out)["version"] != made["version"]  # a second version takes the first one's place
+    (row,) = cli.ask(spark, out, ["What is the maximum operating voltage?"])
+    assert row["grounded"] and "48 volts" in row["answer"]
+    postings, _ = index.load_lexical(spark, out, index.load(spark, out)[0]["version"])
+    assert {r["df"] for r in postings.filter("term = 'refund'").collect()} == {1} or postings.filter("term = 'refund'").count()
+    (tmp_path / "cases.jsonl").write_text('{"case_id": "v", "query": "maximum operating voltage", "expected_snippets": ["48 volts"], "expected_answer_contains": ["48"]}\n{"case_id": "r", "query": "how long does a refund take", "expected_snippets": ["ten working days"]}\n{"case_id": "off", "query": "zebra migration patterns", "unanswerable": true}\n{"case_id": "bad", "query": "refund", "expected_snippets": ["nowhere to be found"]}\n')
+    metrics, results = cli.evaluation(spark, out, str(tmp_path / "cases.jsonl"), str(tmp_path / "report"))
+    value, case = dict(metrics.collect()), {r["case_id"]: r for r in results.collect()}
+    assert value["hit_5"] == 1.0 and value["refusal_accuracy"] == 1.0 and value["cases"] == 4 and value["dataset_errors"] == 1
+    assert case["v"]["correct"] and case["v"]["cited_relevant"] and case["off"]["refused"] and not case["bad"]["resolvable"]
+    again, kept = evaluate.load_report(spark, str(tmp_path / "report"))
+    assert dict(again.collect()) == value and evaluate.diff_cases(kept, results).first()["unchanged"] == 4
+
+
+def test_vectors_of_one_size(spark):
+    one = spark.createDataFrame([("a", [1.0, 2.0])], "chunk_id string, vector array<double>")
+    assert index.upsert_vectors(one, one).count() == 1
+    with pytest.raises(ValueError, match="dimensions"):
+        index.upsert_vectors(one, spark.createDataFrame([("b", [1.0])], "chunk_id string, vector array<double>"))
+
+
+def test_trace(spark):
+    q = spark.createDataFrame([("a", "x"), ("b", "y")], "query_id string, query string")
+    hits = spark.createDataFrame([("a", "dense", 1, 7, 0.5, 1.0), ("a", "lexical", 1, 8, 2.0, 1.0)], "query_id string, source string, rank int, chunk_id int, score double, weight double")
+    got = {r["query_id"]: r for r in answer.trace(q, hits, spark.createDataFrame([("a", 1, 8, 0.1)], "query_id string, rank int, chunk_id int, score double"), spark.createDataFrame([("a", True), ("b", False)], "query_id string, passed boolean")).collect()}
+    assert got["a"]["retrieved"] == {"dense": [7], "lexical": [8]} and got["a"]["candidates"] == 2 and got["a"]["chosen"][0]["chunk_id"] == 8
+    assert not got["b"]["passed"] and got["b"]["candidates"] == 0
+
+
+def test_scratch_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.root(Session())
