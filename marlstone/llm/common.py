@@ -10,17 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from marlstone.operators.keyed import HOT_ROWS, join_stats
 from marlstone.plans.scratch import cut as materialise
 from marlstone.plans.scratch import folder as scratch_path
 from marlstone.plans.scratch import plain_unions
 
-__all__ = ["join_stats", "map_rows", "materialise", "placed", "plain_unions", "scratch_path", "signed", "table"]
-
-#: A key with at least this many rows is hot: its row of the other side is broadcast. There are at most rows / HOT_ROWS such keys.
-HOT_ROWS = 200_000
-#: No more hot keys than this are broadcast (about 10 MB of keys); beyond it the threshold is raised.
-MAX_HOT_KEYS = 100_000
-
+__all__ = ["HOT_ROWS", "join_stats", "map_rows", "materialise", "placed", "plain_unions", "scratch_path", "signed", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     plain_unions(spark)
@@ -45,28 +40,6 @@ def placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     return docs, F.xxhash64(at["file_path"]), at["row_index"]
 
 
-def join_stats(left: DataFrame, stats: DataFrame, key: str, count: str, how: str = "inner", hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
-    """Join left with stats (one row for each key, with the number of left rows in count) so that no task gets all rows of a hot key.
-
-    Rows of keys with hot_rows or more meet a broadcast of those keys' stats, of which there are at most rows / hot_rows; all
-    others meet in a shuffle, in which a key has fewer than hot_rows rows. how: inner or left; hint: how the others are to be
-    joined. The result has left's columns and those of stats but count.
-    """
-    values = [c for c in stats.columns if c not in (key, count)]
-    hot = stats.filter(F.col(count) >= hot_rows)
-    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
-    if n_hot > MAX_HOT_KEYS:
-        return join_stats(left, stats, key, count, how, hot_rows * 8, hint)
-    cold = stats.filter(F.col(count) < hot_rows).select(key, *values)
-    cold = cold.hint(hint) if hint else cold
-    if not n_hot:
-        return left.join(cold, key, how).select(*left.columns, *values)
-    hot = F.broadcast(hot.select(key, *values))
-    met = left.join(hot, key, "inner").select(*left.columns, *values)
-    rest = left.join(hot.select(key), key, "left_anti").join(cold, key, how).select(*left.columns, *values)
-    return met.unionByName(rest)
-
-
 def signed(value: Column) -> Column:
     """A long's bits as 16 hexadecimal digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

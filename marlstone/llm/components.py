@@ -1,47 +1,5 @@
-"""Connected components by alternating star steps, each a distributed aggregation and join."""
+"""Connected components, as the engine's graph operators find them."""
 
-from __future__ import annotations
+from marlstone.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from marlstone.llm.common import join_stats, materialise
-
-
-def _star(edges: DataFrame, large: bool, hot_rows: int) -> DataFrame:
-    """One star step over edges (u > v). Large: every larger neighbour of a node is linked to the node's least neighbour; small: every smaller neighbour and the node itself."""
-    if large:
-        around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        around = edges
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    met = join_stats(around, least, "u", "n", "inner", hot_rows)
-    if large:
-        out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
-
-
-def connected_components(edges: DataFrame, src: str, dst: str, hot_rows: int = 200_000, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an edge; component is the least node that can be reached.
-
-    Large-star and small-star steps in turn, until the edges no longer change; each pair is written to the shared folder.
-    Rounds grow with the logarithm of the longest path. Edges with a null end or equal ends are ignored.
-    """
-    now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
-    now = materialise(now, "cc")
-    digest = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
-    seen = now.agg(*digest).first()
-    for _ in range(max_rounds):
-        if not seen["n"]:
-            break
-        now = materialise(_star(materialise(_star(now, True, hot_rows), "cc"), False, hot_rows), "cc")
-        after = now.agg(*digest).first()
-        if after == seen:
-            break
-        seen = after
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]

@@ -17,7 +17,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import HOT_ROWS, join_stats, materialise
+from marlstone.llm.common import HOT_ROWS
+from marlstone.operators.graph import longest_chains
 
 _TYPES = {"string": "string", "integer": "long", "number": "double", "boolean": "boolean"}
 
@@ -64,52 +65,15 @@ def violations(json: Column, schema: Mapping[str, Any]) -> Column:
     return F.array_sort(F.when(is_object, inside).otherwise(F.array(F.lit(":object"))))
 
 
-def _follow(rows: DataFrame, to: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """rows with the columns of to, which has one row for each key; rows whose key isn't there go."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("asking"))
-    return join_stats(rows, to.join(counts.hint("shuffle_hash"), key), key, "asking", "inner", hot_rows, "shuffle_hash")
-
-
 def positions(calls: DataFrame, id_col: str = "call_id", parents_col: str = "parent_ids", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id_col, position): the length of the longest chain of calls that a call builds on. parents_col: an array of identifiers.
 
     Null in or after a cycle. A parent that isn't there is none, and so is a null one; a call that is its own parent is a cycle.
     Rows that repeat an identifier add up their parents.
     """
-    ids = materialise(calls.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct(), "calls")
-    wanted = calls.select(F.col(id_col).alias("id"), F.explode(parents_col).alias("up")).filter("id IS NOT NULL AND up IS NOT NULL").distinct()
-    edges = materialise(_follow(wanted, ids.select(F.col("id").alias("up")), "up", hot_rows), "calls")
-    counted = edges.groupBy("id").agg(F.count("*").alias("n_up"), F.min("up").alias("up"))
-    # each call points to its only parent, or else to itself: it is an anchor
-    one = F.col("n_up") == 1
-    now = ids.join(counted.hint("shuffle_hash"), "id", "left").select("id", F.when(one, F.col("up")).alias("up"), F.when(one, 1).otherwise(0).cast("long").alias("d"), F.coalesce("n_up", F.lit(0)).alias("n_up"))
-    now = materialise(now.withColumn("anchor", F.when(F.col("up").isNull(), F.col("id"))), "calls")
-    for _ in range(max(1, ids.count()).bit_length() + 1):
-        going = now.filter("anchor IS NULL")
-        if not going.limit(1).count():
-            break
-        there = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), F.col("anchor").alias("end"))
-        step = _follow(going, there, "up", hot_rows).select("id", F.col("next").alias("up"), (F.col("d") + F.col("more")).alias("d"), "n_up", F.col("end").alias("anchor"))
-        now = materialise(step.unionByName(now.filter("anchor IS NOT NULL")), "calls")
-    roots = now.filter("n_up = 0").select(F.col("id").alias("anchor"), F.lit(0).cast("long").alias("base"))
-    joints = now.filter("n_up > 1").select("id")
-    placed = roots
-    if joints.limit(1).count():
-        ends = now.select(F.col("id").alias("up"), "anchor", (F.col("d") + 1).alias("w"))
-        meet = _follow(edges.join(joints.hint("shuffle_hash"), "id", "left_semi"), ends, "up", hot_rows).select("id", "anchor", "w")  # of chains that end in a cycle, anchor is null
-        meet = materialise(meet, "calls")
-        waiting = materialise(meet.groupBy("id").agg(F.count("*").alias("need"), F.lit(0).cast("long").alias("best")), "calls")
-        front = roots
-        while True:
-            given = _follow(meet.filter("anchor IS NOT NULL"), front, "anchor", hot_rows).groupBy("id").agg(F.count("*").alias("came"), F.max(F.col("base") + F.col("w")).alias("at"))
-            left = waiting.join(given.hint("shuffle_hash"), "id", "left").select("id", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", F.coalesce("at", F.lit(0))).alias("best"))
-            left = materialise(left, "calls")
-            front = left.filter("need = 0").select(F.col("id").alias("anchor"), F.col("best").alias("base"))
-            if not front.limit(1).count():
-                break
-            placed, waiting = placed.unionByName(front), left.filter("need > 0")
-    known = _follow(now.filter("anchor IS NOT NULL").select("id", "d", "anchor"), placed, "anchor", hot_rows).select("id", (F.col("base") + F.col("d")).alias("position"))
-    return ids.join(known.hint("shuffle_hash"), "id", "left").select(F.col("id").alias(id_col), "position")
+    ids = calls.select(F.col(id_col).alias("id")).filter("id IS NOT NULL")
+    edges = calls.select(F.col(id_col).alias("id"), F.explode(parents_col).alias("up")).filter("id IS NOT NULL AND up IS NOT NULL")
+    return longest_chains(ids, edges, hot_rows).select(F.col("id").alias(id_col), "position")
 
 
 def link(calls: DataFrame, results: DataFrame, schema: Mapping[str, Any], hot_rows: int = HOT_ROWS) -> DataFrame:
