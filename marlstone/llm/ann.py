@@ -208,7 +208,7 @@ def search(
     if not n:
         return empty
     x = np.array(some["v"].tolist(), np.float64).reshape(-1, size)
-    parts = parts or int(min(MAX_PARTS, 2 ** round(np.log2(np.sqrt(n)))))
+    parts = parts or int(min(MAX_PARTS, 2 ** max(0, round(np.log2(np.sqrt(n) / 2)))))
     router = fit(x, parts, k, recall)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
