@@ -474,6 +474,25 @@ def test_suffix_dedup_defaults(spark):
     assert suffix_dedup.op6_suffix_dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_suffix_dedup_returns_what_is_left(spark):
+    """The operator's own results are runs and bytes: planted passages of over 50 words are gone, clean documents whole."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopé", k=rng.randrange(5, 11)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [f" {prose(n)}\n" for n in (80, 120, 300)]
+    twin = prose(70)
+    texts = [(k, f"{prose(40)}{chr(k + 33)}{passages[k % 3]}{chr(k + 33)}{prose(30)}" if k < 12 else prose(90)) for k in range(24)] + [(30, ""), (31, None), (None, twin), (32, twin)]
+    assert all(len(p.encode()) >= 400 and len(p.split()) > 50 for p in passages)
+    got = {r.doc_id: r for r in suffix_dedup.remove(docs(spark, texts)).collect()}
+    for i, t in texts:
+        r, whole = got[i], (t or "").encode()
+        gone = passages[i % 3].encode() if i is not None and i < 12 else whole if t == twin else b""
+        assert r.n_bytes == len(whole) and [whole[a:b] for a, b in r.spans] == [gone] * bool(gone)
+        assert bytes(r.kept) == (whole.replace(gone, b"", 1) if gone else whole)
+    figures = sorted((i, r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for i, r in got.items() if i is not None)
+    assert figures == sorted(x for x in map(tuple, suffix_dedup.op6_suffix_dedup(docs(spark, texts)).collect()) if x[0] is not None)
+
+
 # 7
 
 
