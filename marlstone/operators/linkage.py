@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.graph import connected_components
+from marlstone.operators.keyed import HOT_ROWS
+from marlstone.plans.scratch import cut
 
 PREDICATES = ("first4", "first6", "last4", "token", "gram3", "gram4", "acronym", "digits", "alpha")
 
@@ -47,21 +51,123 @@ def block_keys(records: DataFrame, predicates: Sequence[tuple[str, str]], id_col
     return records.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("p")).select("id", "p.predicate", F.explode("p.keys").alias("key")).distinct()
 
 
+def _kept_blocks(keys: DataFrame, max_block: int) -> tuple[DataFrame, DataFrame]:
+    """(predicate, key) of the blocks of 2 to max_block records, and the keys without those of very many rows, which need not meet in one task to be dropped."""
+    counts = keys.groupBy("predicate", "key").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") >= max(HOT_ROWS, max_block + 1)).select("predicate", "key")
+    return counts.filter(F.col("n").between(2, max_block)).select("predicate", "key"), keys.join(F.broadcast(hot), ["predicate", "key"], "left_anti")
+
+
 def candidate_pairs(keys: DataFrame, max_block: int = 200) -> DataFrame:
     """(left, right, shared_keys): pairs in a block of 2 to max_block records; shared_keys counts the predicates that agree.
 
-    The cap is the operator's own rule, and it bounds what a block can emit.
+    The cap is the operator's own rule, and it bounds what a block can emit. Records are shuffled to their blocks, each with the
+    list of its blocks; a pair is given by the first block that both are in, so the pairs themselves are never shuffled.
     """
-    sizes = keys.groupBy("predicate", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_block))
-    kept = keys.join(sizes, ["predicate", "key"], "left_semi")
-    a, b = kept.select("predicate", "key", F.col("id").alias("left")), kept.select("predicate", "key", F.col("id").alias("right"))
-    return a.join(b, ["predicate", "key"]).filter("left < right").groupBy("left", "right").agg(F.count_distinct("predicate").alias("shared_keys"))
+    return _pairs(keys, None, (), max_block)
+
+
+def compared_pairs(keys: DataFrame, records: DataFrame, comparisons: Sequence[Comparison], max_block: int = 200, id_col: str = "id") -> DataFrame:
+    """patterns(candidate_pairs(keys, max_block), records, comparisons) in one step: the fields travel with the records to their blocks, where equal pairs of values are compared once."""
+    return _pairs(keys, records.select(F.col(id_col).alias("id"), *[F.col(c.field).cast("string").alias(f"_f{k}") for k, c in enumerate(comparisons)]), comparisons, max_block)
+
+
+def _pairs(keys: DataFrame, values: DataFrame | None, comparisons: Sequence[Comparison], max_block: int) -> DataFrame:
+    blocks, rest = _kept_blocks(keys, max_block)
+    blocks = cut(blocks.withColumn("b", F.monotonically_increasing_id()), "blocks")
+    # blocks has a row for each block, so the arrays are as long as a record has keys
+    member = rest.join(blocks, ["predicate", "key"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("b", F.col("predicate").alias("p")))).alias("_in"))
+    member = member if values is None else member.join(values, "id")
+    fields = [f"_f{k}" for k in range(len(comparisons))]
+    rows = member.select(F.explode("_in.b").alias("b"), "id", F.col("_in.b").alias("_b"), F.col("_in.p").alias("_p"), *fields)
+    kind = dict(keys.dtypes)["id"]
+    schema = ", ".join([f"left {kind}", f"right {kind}", "shared_keys long", *[f"`level_{c.field}` string" for c in comparisons]])
+    return rows.repartition("b").sortWithinPartitions("b", "id").mapInArrow(_block_pairs(comparisons), schema)
+
+
+#: Pairs that are compared at once in a task.
+PAIRS_AT_ONCE = 100_000
+
+
+def _block_pairs(comparisons: Sequence[Comparison]):
+    """A function over rows (block, id, its blocks, their predicates, fields), sorted by block and id: the pairs of each block that share no earlier one. Only the last block of a batch waits for the next."""
+
+    def pairs_of(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block = rows.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        left, right, held = [], [], 0
+        for at, n in zip(starts, np.diff(np.r_[starts, len(block)]), strict=True):
+            i, j = np.triu_indices(n, 1)
+            for k in range(0, len(i), PAIRS_AT_ONCE):
+                left.append(i[k : k + PAIRS_AT_ONCE] + at)
+                right.append(j[k : k + PAIRS_AT_ONCE] + at)
+                held += len(left[-1])
+                if held >= PAIRS_AT_ONCE:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, held = [], [], 0
+        if held:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def padded(lists: pa.ListArray, flat: np.ndarray, fill: int) -> np.ndarray:
+        sizes = pc.list_value_length(lists).to_numpy()
+        out = np.full((len(sizes), max(1, sizes.max())), fill, flat.dtype)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+        return out
+
+    def compare(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block, ids = rows.column(0).to_numpy(), rows.column(1)
+        same = ids.dictionary_encode().indices.to_numpy()
+        of = padded(rows.column(2), rows.column(2).flatten().to_numpy(), -1)
+        predicates = rows.column(3).flatten().dictionary_encode()
+        by = padded(rows.column(3), predicates.indices.to_numpy(), -1)
+        coded = [rows.column(4 + k).dictionary_encode() for k in range(len(comparisons))]
+        texts = [c.dictionary.to_pylist() for c in coded]
+        codes = [c.indices.fill_null(-1).to_numpy() for c in coded]
+        levels = [np.array(c.names, object) for c in comparisons]
+        step = max(1, 8_000_000 // of.shape[1] ** 2)
+        for left, right in pairs_of(rows):
+            for at in range(0, len(left), step):
+                i, j = left[at : at + step], right[at : at + step]
+                shared = (of[i][:, :, None] == np.where(of[j] == -1, -2, of[j])[:, None, :]).any(axis=2)
+                first = (of[i, shared.argmax(axis=1)] == block[i]) & (same[i] != same[j])
+                i, j, shared = i[first], j[first], shared[first]
+                if not len(i):
+                    continue
+                held = by[i]
+                agree = sum((shared & (held == p)).any(axis=1).astype(np.int64) for p in range(len(predicates.dictionary)))
+                out = [ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(agree)]
+                for c, code, text, names in zip(comparisons, codes, texts, levels, strict=True):
+                    each, where = np.unique((code[i] + 1).astype(np.int64) * (len(text) + 1) + code[j] + 1, return_inverse=True)
+                    a, b = each // (len(text) + 1) - 1, each % (len(text) + 1) - 1
+                    known = np.full(len(each), -1.0)
+                    both = (a >= 0) & (b >= 0)
+                    known[both] = similarities([text[x] for x in a[both]], [text[x] for x in b[both]])
+                    level = np.select([known >= least for _, least in c.levels], range(len(c.levels)), len(c.levels))
+                    out.append(pa.array(names, pa.string()).take(pa.array(level[where])))
+                yield pa.RecordBatch.from_arrays(out, names=["left", "right", "shared_keys", *[f"level_{c.field}" for c in comparisons]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+            block = batch.column(0).to_numpy()
+            last = int(np.searchsorted(block, block[-1]))
+            waiting = batch.slice(last)
+            if last:
+                yield from compare(pa.Table.from_batches([batch.slice(0, last)]).combine_chunks().to_batches()[0])
+        if waiting is not None:
+            yield from compare(pa.Table.from_batches([waiting]).combine_chunks().to_batches()[0])
+
+    return run
 
 
 def predicate_costs(keys: DataFrame, max_block: int = 200) -> DataFrame:
     """(predicate, pairs): distinct pairs that each predicate would compare."""
-    sizes = keys.groupBy("predicate", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_block))
-    kept = keys.join(sizes, ["predicate", "key"], "left_semi")
+    blocks, rest = _kept_blocks(keys, max_block)
+    kept = rest.join(blocks, ["predicate", "key"], "left_semi")
     a, b = kept.select("predicate", "key", F.col("id").alias("left")), kept.select("predicate", "key", F.col("id").alias("right"))
     return a.join(b, ["predicate", "key"]).filter("left < right").groupBy("predicate").agg(F.count_distinct("left", "right").alias("pairs"))
 
@@ -118,12 +224,62 @@ def similarity(a: str | None, b: str | None) -> float:
     return max(0.0, min(1.0, 1 - (affine_gap(a, b) - low) / (high - low)))
 
 
+def affine_gaps(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """affine_gap() of each pair of texts that aren't empty, with its default costs: pairs of equal lengths are aligned together, row by row as there."""
+    out = np.zeros(len(a))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    cuts = np.flatnonzero((np.diff(sizes[order], axis=0) != 0).any(axis=1)) + 1
+    for group in np.split(order, cuts):
+        if not len(group):
+            continue
+        n, m = (int(x) for x in sizes[group[0]])
+        together = max(1, min(4096, 100_000 // (m + 1)))
+        for at in range(0, len(group), together):
+            some = group[at : at + together]
+            x, y = (np.frombuffer("".join(s[k] for k in some).encode("utf-32-le"), np.uint32).reshape(len(some), -1).T for s in (a, b))
+            out[some] = _aligned(np.ascontiguousarray(x), np.ascontiguousarray(y), np.int16 if 5 * (n + m) + 8 < 30_000 else np.int64)
+    return out
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, kind: type) -> np.ndarray:
+    """The costs of affine_gap() for a column of characters for each pair; all are whole numbers."""
+    steps = np.arange(len(y) + 1, dtype=kind)[:, None]
+    best = np.empty((len(y) + 1, x.shape[1]), kind)
+    best[0], best[1:] = 0, steps[:-1] + 4
+    down = np.full((len(y), x.shape[1]), np.iinfo(kind).max // 2, kind)
+    for i in range(len(x)):
+        down = np.minimum(down + kind(1), best[1:] + kind(4))
+        now = np.empty_like(best)
+        now[0] = 4 + i
+        np.minimum(down, best[:-1] + np.where(y == x[i], kind(-5), kind(5)), out=now[1:])
+        along = np.minimum.accumulate(now[:-1] - steps[:-1], axis=0) + steps[:-1] + kind(4)
+        np.minimum(now[1:], along, out=now[1:])
+        best = now
+    same = (x == y).all(axis=0) if len(x) == len(y) else np.zeros(x.shape[1], bool)
+    return np.where(same, -5.0 * len(x), best[-1])
+
+
+def similarities(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
+    """similarity() of each pair of values."""
+    a, b = ([(x or "").strip().lower() for x in s] for s in (a, b))
+    out = np.array([1.0 if x == y else 0.0 for x, y in zip(a, b, strict=True)])
+    rest = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x and y and x != y]
+    if rest:
+        n, m = (np.array([len(s[k]) for k in rest]) for s in (a, b))
+        low, high = -5.0 * np.minimum(n, m), 4.0 + n + m - 1
+        out[rest] = np.maximum(0.0, np.minimum(1.0, 1 - (affine_gaps([a[k] for k in rest], [b[k] for k in rest]) - low) / (high - low)))
+    return out
+
+
 def affine_gap_similarity(a: Column, b: Column) -> Column:
     """similarity() of each pair of values: a pandas UDF, as the engine has no alignment with affine gaps. Equal pairs of a batch are aligned once."""
 
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        known = {k: similarity(*k) for k in set(zip(left, right, strict=True))}
-        return pd.Series([known[k] for k in zip(left, right, strict=True)], dtype=float)
+        pairs = list(zip(left, right, strict=True))
+        each = list(dict.fromkeys(pairs))
+        known = dict(zip(each, similarities([x for x, _ in each], [y for _, y in each]), strict=True))
+        return pd.Series([known[k] for k in pairs], dtype=float)
 
     return F.pandas_udf(run, "double")(a, b)
 
@@ -276,7 +432,7 @@ def resolve(records: DataFrame, comparisons: Sequence[Comparison], predicates: S
     if not comparisons:
         raise ValueError("nothing to compare")
     keys = block_keys(records, predicates or [("first4", comparisons[0].field), ("token", comparisons[0].field), ("alpha", comparisons[0].field)], id_col)
-    compared = patterns(candidate_pairs(keys, max_block), records, comparisons, id_col)
+    compared = cut(compared_pairs(keys, records, comparisons, max_block, id_col), "compared")
     model = fit(compared, comparisons)
     scored = score(compared, comparisons, model)
     return clusters(records, scored, threshold, linkage, id_col), scored, model

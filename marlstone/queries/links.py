@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import graph, linkage
 from marlstone.plans import dag
+from marlstone.plans.scratch import cut
 from marlstone.queries.base import Query, table
 
 
@@ -28,11 +29,11 @@ _COMPARE = [linkage.Comparison("name"), linkage.Comparison("nation")]
 
 
 def _compared(s, d):
-    return linkage.patterns(linkage.candidate_pairs(_keys(s, d)), records(s, d), _COMPARE)
+    return linkage.compared_pairs(_keys(s, d), records(s, d), _COMPARE)
 
 
 def _scored(s, d):
-    c = _compared(s, d)
+    c = cut(_compared(s, d), "compared")
     return linkage.score(c, _COMPARE, linkage.fit(c, _COMPARE))
 
 

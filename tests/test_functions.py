@@ -135,3 +135,9 @@ def test_chunks(spark):
 
 def test_labels():
     assert html.block_type("page_header") == "page_header" and html.block_type("Section-Header") == "heading" and html.block_type("odd") == "paragraph"
+
+
+def test_alignments_together():
+    texts = ["", "a", "ab", "abc", "customer#01", "customer#10", "supplier#01", "漢字x", "xyz xyz", " A "]
+    pairs = [(a, b) for a in [*texts, None] for b in [*texts, None]]
+    assert list(linkage.similarities(*zip(*pairs, strict=True))) == [linkage.similarity(a, b) for a, b in pairs]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import cli
-from marlstone.operators import answer, evaluate, fusion, graph, guard, index, layout, retrieve
+from marlstone.operators import answer, evaluate, fusion, graph, guard, index, layout, linkage, retrieve
 from marlstone.plans import dag, durable, models, scratch
 from marlstone.plans.errors import AdapterError, BudgetExceeded, NonRetryable, RateLimited, StepNotReplayable
 from marlstone.sources import files, pdf
@@ -309,3 +309,37 @@ def test_scratch_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch.root(Session())
+
+
+def test_pairs_of_blocks(spark):
+    rows = [(i, ["Anna Berg", "anna berg", "Anna Burg", "Berg Anna", None, "Cy", "Anna Berg "][i % 7], str(i % 3) if i % 5 else None) for i in range(60)]
+    records = spark.createDataFrame(rows, "id long, name string, nation string")
+    keys = linkage.block_keys(records, [("token", "name"), ("first4", "name"), ("last4", "name")])
+    compare = [linkage.Comparison("name"), linkage.Comparison("nation")]
+    blocks: dict = {}
+    for r in keys.collect():
+        blocks.setdefault((r["predicate"], r["key"]), []).append(r["id"])
+    agree: dict = {}
+    for (p, _), ids in blocks.items():
+        for a in ids:
+            for b in ids:
+                if a < b and 2 <= len(ids) <= 30:
+                    agree.setdefault((a, b), set()).add(p)
+
+    def level(a, b):
+        s = -1.0 if a is None or b is None else linkage.similarity(a, b)
+        return next((n for n, least in compare[0].levels if s >= least), "none")
+
+    want = sorted((a, b, len(ps), *(level(rows[a][k], rows[b][k]) for k in (1, 2))) for (a, b), ps in agree.items())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = linkage.compared_pairs(keys, records, compare, 30)
+        assert got.columns == ["left", "right", "shared_keys", "level_name", "level_nation"]
+        assert sorted(map(tuple, got.collect())) == want
+        assert sorted(map(tuple, linkage.candidate_pairs(keys, 30).collect())) == [w[:3] for w in want]
+        assert sorted(map(tuple, linkage.patterns(linkage.candidate_pairs(keys, 30), records, compare).collect())) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Join ")  # pairs meet no join
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
