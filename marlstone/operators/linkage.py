@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -10,11 +11,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.graph import connected_components
 from marlstone.operators.keyed import HOT_ROWS
+from marlstone.operators.rows import numbered
 from marlstone.plans.scratch import cut
 
 PREDICATES = ("first4", "first6", "last4", "token", "gram3", "gram4", "acronym", "digits", "alpha")
@@ -373,28 +375,65 @@ def score(compared: DataFrame, comparisons: Sequence[Comparison], model: Model)
 
 
 def average_linkage(ids: list, links: dict[tuple, float], threshold: float) -> list[list]:
-    """Clusters of one component: the two with the highest mean score merge while it reaches the threshold; absent pairs count 0, the last of equal ones goes first."""
-    groups = [[i] for i in sorted(ids)]
-    n = len(groups)
+    """Clusters of one component: the two with the highest mean score merge while it reaches the threshold; absent pairs count 0, the last of equal ones goes first.
+
+    Only linked pairs are held, in a heap of their means; a pair whose clusters have changed since is passed over.
+    """
+    groups: list[list | None] = [[i] for i in sorted(ids)]
+    if threshold <= 0 and groups:
+        return [[g[0] for g in groups]]
     at = {g[0]: k for k, g in enumerate(groups)}
-    total = np.zeros((n, n))
+    total: list[dict[int, float]] = [{} for _ in groups]
     for (a, b), p in links.items():
-        total[at[a], at[b]] = total[at[b], at[a]] = p
-    sizes, alive = np.ones(n), np.arange(n)
-    while len(alive) > 1:
-        mean = total[np.ix_(alive, alive)] / np.outer(sizes[alive], sizes[alive])
-        mean[np.tril_indices(len(alive))] = -1
-        best = mean.max()
-        if best < threshold:
-            break
-        i, j = np.argwhere(mean == best)[-1]
-        a, b = alive[i], alive[j]
+        if a != b:
+            total[at[a]][at[b]] = total[at[b]][at[a]] = p
+    age = [0] * len(groups)
+    heap = [(-p, -i, -j, 0, 0) for i, near in enumerate(total) for j, p in near.items() if i < j and p >= threshold]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, old_i, old_j = heapq.heappop(heap)
+        a, b = -i, -j
+        if groups[a] is None or groups[b] is None or age[a] != old_i or age[b] != old_j:
+            continue
         groups[a] += groups[b]
-        total[a] += total[b]
-        total[:, a] += total[:, b]
-        sizes[a] += sizes[b]
-        alive = np.delete(alive, j)
-    return [sorted(groups[k]) for k in alive]
+        groups[b] = None
+        age[a] += 1
+        del total[a][b]
+        for c, p in total[b].items():
+            if c != a:
+                del total[c][b]
+                total[a][c] = total[c][a] = total[a].get(c, 0.0) + p
+        total[b] = {}
+        for c, p in total[a].items():
+            mean = p / (float(len(groups[a])) * len(groups[c]))
+            if mean >= threshold:
+                heapq.heappush(heap, (-mean, -min(a, c), -max(a, c), age[min(a, c)], age[max(a, c)]))
+    return [sorted(g) for g in groups if g is not None]
+
+
+def spanning_edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Edges that connect what edges (src, dst) connect: of each Arrow batch a star for each of its components, so pairs of blocks shrink to about their records before any are shuffled."""
+    s, d = dict(edges.dtypes)[src], dict(edges.dtypes)[dst]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = pa.chunked_array([batch.column(0), batch.column(1)]).combine_chunks().dictionary_encode()
+            code = met.indices.to_numpy()
+            up = list(range(len(met.dictionary)))
+
+            def top(k: int, up: list[int] = up) -> int:
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            for a, b in np.unique(np.stack([code[: batch.num_rows], code[batch.num_rows :]], axis=1), axis=0).tolist():
+                up[top(a)] = top(b)
+            roots = np.array([top(k) for k in range(len(up))], np.int64)
+            far = np.flatnonzero(roots != np.arange(len(up)))
+            yield pa.RecordBatch.from_arrays([met.dictionary.take(pa.array(far)), met.dictionary.take(pa.array(roots[far]))], names=[src, dst])
+
+    return edges.select(src, dst).filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).mapInArrow(run, f"`{src}` {s}, `{dst}` {d}")
 
 
 def clusters(records: DataFrame, scored: DataFrame, threshold: float = 0.9, linkage: str = "average", id_col: str = "id") -> DataFrame:
@@ -404,23 +443,31 @@ def clusters(records: DataFrame, scored: DataFrame, threshold: float = 0.9, link
     component by itself. Cohesion is the mean probability of the pairs that cleared the threshold within the cluster.
     """
     good = scored.filter(F.col("probability") >= threshold).select("left", "right", "probability")
-    comp = connected_components(good, "left", "right")
+    comp = connected_components(spanning_edges(good, "left", "right"), "left", "right")
     kind = dict(records.dtypes)[id_col]
+    inside = good.join(comp.select(F.col("node").alias("left"), "component"), "left")
     if linkage == "average":
-        inside = good.join(comp.select(F.col("node").alias("left"), "component"), "left")
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             links = {(a, b): p for a, b, p in zip(rows["left"], rows["right"], rows["probability"], strict=True)}
-            groups = average_linkage(sorted({x for pair in links for x in pair}), links, threshold)
-            return pd.DataFrame([(i, g[0]) for g in groups for i in g], columns=["node", "component"])
-
-        comp = inside.groupBy("component").applyInPandas(run, f"node {kind}, component {kind}")
-    member = records.select(F.col(id_col).alias("node")).distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    within = good.join(member.select(F.col("node").alias("left"), F.col("component").alias("_a")), "left").join(member.select(F.col("node").alias("right"), F.col("component").alias("_b")), "right").filter("_a = _b")
-    cohesion = within.groupBy(F.col("_a").alias("component")).agg(F.avg("probability").alias("cohesion"))
-    grouped = member.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("record_ids"), F.count("*").alias("size")).join(cohesion, "component", "left")
-    order = Window.orderBy(F.desc("size"), F.col("record_ids")[0])
-    return grouped.select((F.row_number().over(order) - 1).alias("cluster_id"), "record_ids", "size", F.coalesce("cohesion", F.lit(1.0)).alias("cohesion"))
+            out, cluster = [], {}
+            for g in average_linkage(sorted({x for pair in links for x in pair}), links, threshold):
+                cluster |= dict.fromkeys(g, g[0])
+            within: dict = {}
+            for a, b, p in zip(rows["left"], rows["right"], rows["probability"], strict=True):
+                if cluster[a] == cluster[b]:
+                    within.setdefault(cluster[a], []).append(p)
+            mean = {g: math.fsum(ps) / len(ps) for g, ps in within.items()}
+            out = [(i, g, mean.get(g)) for i, g in cluster.items()]
+            return pd.DataFrame(out, columns=["node", "component", "cohesion"])
+
+        comp = inside.groupBy("component").applyInPandas(run, f"node {kind}, component {kind}, cohesion double")
+    else:
+        comp = comp.join(inside.groupBy("component").agg(F.avg("probability").alias("cohesion")), "component").select("node", "component", "cohesion")
+    member = records.select(F.col(id_col).alias("node")).distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "cohesion")
+    grouped = member.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("record_ids"), F.count("*").alias("size"), F.max("cohesion").alias("cohesion"))
+    ordered = numbered(grouped.select("record_ids", "size", "cohesion", (-F.col("size")).alias("_less"), F.col("record_ids")[0].alias("_first")), "_less", "_first", name="cluster_id")
+    return ordered.select(F.col("cluster_id"), "record_ids", "size", F.coalesce("cohesion", F.lit(1.0)).alias("cohesion"))
 
 
 def pairs_avoided(n_records: Column, compared: Column) -> Column:

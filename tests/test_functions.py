@@ -141,3 +141,8 @@ def test_alignments_together():
     texts = ["", "a", "ab", "abc", "customer#01", "customer#10", "supplier#01", "漢字x", "xyz xyz", " A "]
     pairs = [(a, b) for a in [*texts, None] for b in [*texts, None]]
     assert list(linkage.similarities(*zip(*pairs, strict=True))) == [linkage.similarity(a, b) for a, b in pairs]
+
+
+def test_linkage_of_a_large_component():
+    chain = {(i, i + 1): 0.95 if i % 2 == 0 else 0.9 for i in range(7999)}  # 8,000 records: a matrix of them would be merged 4,000 times
+    assert linkage.average_linkage(range(8000), chain, 0.9) == [[i, i + 1] for i in range(0, 8000, 2)]

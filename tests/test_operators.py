@@ -341,5 +341,9 @@ def test_pairs_of_blocks(spark):
         assert sorted(map(tuple, linkage.patterns(linkage.candidate_pairs(keys, 30), records, compare).collect())) == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("MapInArrow") < plan.index("Join ")  # pairs meet no join
+        edges = spark.createDataFrame([(f"n{i}", f"n{i + 2}") for i in range(40)] + [("x", "y")] * 30, "left string, right string")
+        few = linkage.spanning_edges(edges, "left", "right")
+        assert set(map(tuple, graph.connected_components(few, "left", "right").collect())) == set(map(tuple, graph.connected_components(edges, "left", "right").collect()))
+        assert few.count() < edges.count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
