@@ -1,7 +1,7 @@
 """Graph operators over tables of edges (graph_id, src, dst[, weight]) and nodes (graph_id, id).
 
-Set-at-a-time steps cut their lineage with tables in the shared folder that the session names. What is sequential by
-definition (one global topological order, a concrete cycle) runs on each graph as one group.
+Set-at-a-time steps cut their lineage with tables in the shared folder that the session names. A graph of over LAYERS
+layers is put in order as one group; so is a walk of over HOPS steps to a cycle, over one edge for each node.
 """
 
 from __future__ import annotations
@@ -14,8 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.keyed import HOT_ROWS, follow, join_stats
+from marlstone.operators.rows import numbered
 from marlstone.plans.scratch import cut, fresh
 
+#: Layers that are put in order set by set, in a round of jobs each.
+LAYERS = 64
+#: Steps of a walk to a cycle that are joins.
+HOPS = 32
+#: Rounds in which ends are peeled off one by one before chains of them are followed.
+PEELS = 4
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.col("src").alias("id")).union(edges.select("graph_id", F.col("dst").alias("id"))).distinct()
@@ -233,8 +241,38 @@ def _grouped(edges: DataFrame, nodes: DataFrame, fn: Callable[[list, dict], pd.D
 
 
 def topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(graph_id, position, id): the smallest ready node first. Nodes on or after a cycle are absent. Each graph is one group."""
+    """(graph_id, position, id): the smallest ready node first. Nodes on or after a cycle are absent.
+
+    A node is taken once the last of its predecessors is; over those links the graph is a forest. A node's path from its root
+    comes after another's if the largest ids that are left, looking from each to the path's end, are larger: so each node gets
+    these ids, falling ones that end in its own, from the greatest list among its predecessors, layer by layer, and the lists
+    are sorted by ranges. Graphs of over LAYERS layers, where lists may be long, are one group each.
+    """
     every = nodes if nodes is not None else nodes_of(edges)
+    layers = cut(topological_layers(edges, every), "layers")
+    deep = cut(layers.groupBy("graph_id").agg(F.max("layer").alias("layer")).filter(F.col("layer") >= LAYERS).select("graph_id"), "deep")
+    if not deep.limit(1).count():
+        return _order_by_layers(edges, layers)
+    shallow = layers.join(deep, "graph_id", "left_anti")
+    one = _order_in_one(edges.join(deep, "graph_id", "left_semi"), every.join(deep, "graph_id", "left_semi"))
+    return _order_by_layers(edges, shallow).unionByName(one)
+
+
+def _order_by_layers(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    node = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+    ends = layers.filter("layer > 0").select(node("id").alias("id"), "layer")
+    e = cut(follow(edges.select(node("dst").alias("id"), node("src").alias("up")).distinct(), ends, "id"), "ordered")
+    placed = layers.filter("layer = 0").select(node("id").alias("up"), F.array("id").alias("path"))
+    for k in range(1, (layers.agg(F.max("layer")).first()[0] or 0) + 1):
+        last = follow(e.filter(F.col("layer") == k).select("id", "up"), placed, "up").groupBy("id").agg(F.max("path").alias("path"))
+        now = last.select(F.col("id").alias("up"), F.concat(F.filter("path", lambda x: x > F.col("id.id")), F.array("id.id")).alias("path"))
+        placed = placed.unionByName(cut(now, "ordered"))
+    counted = cut(numbered(placed.select("up.graph_id", "path"), "graph_id", "path"), "ordered")
+    first = counted.groupBy("graph_id").agg(F.min("n").alias("first"), F.count("*").alias("_rows"))
+    return join_stats(counted, first, "graph_id", "_rows").select("graph_id", (F.col("n") - F.col("first")).cast("int").alias("position"), F.element_at("path", -1).alias("id"))
+
+
+def _order_in_one(edges: DataFrame, every: DataFrame) -> DataFrame:
     gid, kind = dict(every.dtypes)["graph_id"], dict(every.dtypes)["id"]
 
     def order(ids: list, out: dict) -> pd.DataFrame:
@@ -258,32 +296,52 @@ def topological_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
 
 
 def find_cycle(edges: DataFrame) -> DataFrame:
-    """(graph_id, cycle): the first cycle of a depth-first search in order of ids, its first node repeated at the end; null where there is none."""
-    every = nodes_of(edges)
-    gid, kind = dict(every.dtypes)["graph_id"], dict(every.dtypes)["id"]
+    """(graph_id, cycle): the first cycle of a depth-first search in order of ids, its first node repeated at the end; null where there is none.
 
-    def search(ids: list, out: dict) -> pd.DataFrame:
-        state: dict = {}
-        for root in ids:
-            if root in state:
-                continue
-            path, stack = [root], [iter(out[root])]
-            state[root] = 1
-            while stack:
-                for t in stack[-1]:
-                    if state.get(t) == 1:
-                        return pd.DataFrame({"cycle": [[*path[path.index(t) :], t]]})
-                    if t not in state:
-                        state[t] = 1
-                        path.append(t)
-                        stack.append(iter(out[t]))
-                        break
-                else:
-                    state[path.pop()] = 2
-                    stack.pop()
-        return pd.DataFrame({"cycle": [None]})
-
-    return _grouped(edges, every, search, f"graph_id {gid}, cycle array<{kind}>")
+    Nodes from which no cycle is reached change nothing in that search and are peeled off. All others have an edge to such a
+    node, so the search never turns back: it starts at the least of them and takes each time the least edge, until it meets
+    its own path.
+    """
+    node = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+    e = cut(edges.select("graph_id", "src", "dst").distinct(), "cycle")
+    every = cut(nodes_of(e), "cycle")
+    gid, kind = dict(every.dtypes)["graph_id"], dict(every.dtypes)["id"]
+    live, least = every, e
+    for _ in range(PEELS):  # mostly a few rounds do
+        ends = cut(live.join(least.select("graph_id", F.col("src").alias("id")).distinct(), ["graph_id", "id"], "left_anti"), "cycle")
+        if not ends.limit(1).count():
+            break
+        live = cut(live.join(ends, ["graph_id", "id"], "left_anti"), "cycle")
+        least = cut(least.join(ends.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_anti").select("graph_id", "src", "dst"), "cycle")
+    else:
+        live = cut(live.join(topological_layers(reverse(least), live), ["graph_id", "id"], "left_anti"), "cycle")
+        least = follow(least.select("graph_id", "src", node("dst").alias("up")), live.select(node("id").alias("up")), "up").select("graph_id", "src", F.col("up.id").alias("dst"))
+    least = least.groupBy("graph_id", "src").agg(F.min("dst").alias("dst"))
+    least = cut(least, "cycle")
+    walk = cut(live.groupBy("graph_id").agg(F.array(F.min("id")).alias("path"), F.lit(None).cast(f"array<{kind}>").alias("cycle")), "cycle")
+    for _ in range(HOPS):
+        going = walk.filter("cycle IS NULL")
+        if not going.limit(1).count():
+            break
+        met = going.select("graph_id", "path", F.element_at("path", -1).alias("src")).join(least, ["graph_id", "src"])
+        at = F.array_position("path", F.col("dst"))
+        step = met.select("graph_id", F.concat("path", F.array("dst")).alias("path"), F.when(at > 0, F.concat(F.expr("slice(path, cast(array_position(path, dst) as int), size(path))"), F.array("dst"))).alias("cycle"))
+        walk = cut(step.unionByName(walk.filter("cycle IS NOT NULL")), "cycle")
+    far = walk.filter("cycle IS NULL").select("graph_id", F.element_at("path", -1).alias("start"))
+    found = walk.filter("cycle IS NOT NULL").select("graph_id", "cycle")
+    if far.limit(1).count():
+
+        def follow_on(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            to = dict(zip(rows["src"], rows["dst"], strict=True))
+            now, at = rows["root"].iloc[0], {}
+            while now not in at:
+                at[now] = len(at)
+                now = to[now]
+            return pd.DataFrame({"graph_id": [key[0]], "cycle": [[*list(at)[at[now] :], now]]})
+
+        roots = far.join(walk.select("graph_id", F.col("path")[0].alias("root")), "graph_id").select("graph_id", "root")
+        found = found.unionByName(least.join(roots, "graph_id").groupBy("graph_id").applyInPandas(follow_on, f"graph_id {gid}, cycle array<{kind}>"))
+    return every.select("graph_id").distinct().join(found, "graph_id", "left").select("graph_id", "cycle")
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -347,3 +347,65 @@ def test_pairs_of_blocks(spark):
         assert few.count() < edges.count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _by_hand(edges):
+    """Kahn's order with a heap and a depth-first search for a cycle."""
+    import heapq
+
+    ids = sorted({x for e in edges for x in e})
+    out = {i: sorted({b for a, b in edges if a == i}) for i in ids}
+    need = {i: len({a for a, b in edges if b == i}) for i in ids}
+    ready, done = [i for i in ids if not need[i]], []
+    while ready:
+        one = heapq.heappop(ready)
+        done.append(one)
+        for t in out[one]:
+            need[t] -= 1
+            if not need[t]:
+                heapq.heappush(ready, t)
+    state: dict = {}
+
+    def visit(i, path):
+        state[i] = 1
+        for t in out[i]:
+            if state.get(t) == 1:
+                return [*path[path.index(t) :], t]
+            if t not in state and (found := visit(t, [*path, t])):
+                return found
+        state[i] = 2
+        return None
+
+    return done, next((c for i in ids if i not in state and (c := visit(i, [i]))), None)
+
+
+def test_order_and_cycle_over_sets(spark, monkeypatch):
+    import random
+
+    for name, few in (("LAYERS", 16), ("HOPS", 3), ("PEELS", 1)):
+        monkeypatch.setattr(graph, name, few)
+    rng = random.Random(7)
+    graphs = {}
+    for g in range(60):
+        n = rng.randint(2, 14)
+        name = rng.sample(range(100), n)
+        graphs[g] = [(a, b) for a, b in ((name[rng.randrange(n)], name[rng.randrange(n)]) for _ in range(rng.randint(1, 2 * n))) if g % 2 or name.index(a) < name.index(b)] or [(1, 2)]
+    graphs[99] = [(i + 1, i) for i in range(9)] + [(0, 5)]  # a walk of more than HOPS steps to its cycle: from 0 to 5 and back
+    edges = spark.createDataFrame([(g, a, b) for g, es in graphs.items() for a, b in es], "graph_id long, src long, dst long")
+    want = {g: _by_hand(es) for g, es in graphs.items()}
+    one = graph._grouped
+
+    def small(edges, nodes, fn, schema):  # no shallow graph is one group
+        assert sorted(r[0] for r in nodes.select("graph_id").distinct().collect()) == [98]
+        return one(edges, nodes, fn, schema)
+
+    monkeypatch.setattr(graph, "_grouped", small)
+    deep = spark.createDataFrame([(98, i + 1, i) for i in range(graph.LAYERS)], edges.schema)
+    got: dict = {}
+    for r in graph.topological_order(edges.unionByName(deep)).orderBy("graph_id", "position").collect():
+        assert r["position"] == len(got.setdefault(r["graph_id"], []))
+        got[r["graph_id"]].append(r["id"])
+    assert got.pop(98) == list(range(graph.LAYERS, -1, -1))
+    assert got == {g: w[0] for g, w in want.items() if w[0]}
+    cycles = {r["graph_id"]: r["cycle"] for r in graph.find_cycle(edges).collect()}
+    assert cycles == {g: w[1] for g, w in want.items()} and sum(c is not None for c in cycles.values()) > 10
