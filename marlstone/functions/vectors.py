@@ -82,23 +82,26 @@ def hashed_vector(text: Column, dimension: int = 256, trigrams: bool = True) ->
     pattern = re.compile("[a-z0-9]+")
 
     def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[str, tuple[list[int], list[float]]] = {}
 
-        def places(token: str) -> tuple[np.ndarray, np.ndarray]:
+        def places(token: str) -> tuple[list[int], list[float]]:
             marked = f"^{token}$"
             feats = [token, *(marked[i : i + 3] for i in range(len(marked) - 2))] if trigrams else [token]
             at = [int(md5(f.encode()).hexdigest()[:8], 16) % dimension for f in feats]
             way = [1.0 if int(md5(b"s|" + f.encode()).hexdigest()[:8], 16) % 2 == 0 else -1.0 for f in feats]
-            return np.array(at), np.array(way)
+            return at, way
 
         out = []
         for text in texts:
-            v = np.zeros(dimension)
+            buckets: list[int] = []
+            values: list[float] = []
             for token, n in Counter(pattern.findall((text or "").lower())).items():
                 if token not in known:
                     known[token] = places(token)
                 at, way = known[token]
-                np.add.at(v, at, way * n)
+                buckets += at
+                values += [w * n for w in way]
+            v = np.bincount(buckets, values, dimension) if buckets else np.zeros(dimension)  # sums of whole numbers, so exact in any order
             size = np.sqrt(np.sum(v * v))
             out.append(v / size if size else v)
         return pd.Series(out)

@@ -53,12 +53,12 @@ def select_passages(queries: DataFrame, hits: DataFrame, chunks: DataFrame, top_
     """(query_id, rank, chunk_id, score): gate, fuse, drop near-duplicates, then cut, so a dropped one is replaced."""
     passed = retrieve.gate(queries, hits, chunks, coverage=coverage).filter("passed").select("query_id")
     fused = fusion.fuse(hits.join(passed, "query_id", "left_semi"), "rrf", candidates, rrf_k).select("query_id", "rank", "chunk_id", "score")
-    return fusion.distinct_texts(fused, chunks, threshold).filter(F.col("rank") <= top_k)
+    return cut(fusion.distinct_texts(fused, chunks, threshold).filter(F.col("rank") <= top_k), "passages")
 
 
 def extractive(queries: DataFrame, passages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, answer, grounded, chunk_ids, pages): the passages themselves, each cited; questions without any are refused."""
-    rows = passages.join(chunks.select("chunk_id", "text", "page"), "chunk_id")
+    rows = retrieve.few(passages).join(chunks.select("chunk_id", "text", "page"), "chunk_id")
     line = F.format_string("[%d] (page %d) %s", F.col("rank"), F.col("page"), quote(F.col("text")))
     built = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), "chunk_id", "page"))).alias("_x"))
     joined = queries.select("query_id").join(built, "query_id", "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators.retrieve import few
+from marlstone.plans.scratch import fresh
 
 
 def judge(hits: DataFrame, cases: DataFrame, texts: DataFrame, case: str = "case_id", item: str = "chunk_id") -> DataFrame:
@@ -14,7 +16,7 @@ def judge(hits: DataFrame, cases: DataFrame, texts: DataFrame, case: str = "case
     Snippets decide where a case has any (contained after lower case and one space for white space); else document ids,
     and pages too where pages are given; else pages alone. Cases are joined by their id, not with every text.
     """
-    joined = hits.join(texts, item).join(cases, case)
+    joined = few(hits).join(texts, item).join(cases, case)
     snippets = F.coalesce(F.col("expected_snippets"), F.array().cast("array<string>"))
     docs = F.coalesce(F.col("expected_doc_ids"), F.array().cast("array<string>"))
     pages = F.coalesce(F.col("expected_pages"), F.array().cast("array<int>"))
@@ -71,7 +73,7 @@ def per_case(rels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), totals: DataF
 
 def cited_relevant(rels: DataFrame, cited: DataFrame, case: str = "case_id", item: str = "chunk_id") -> DataFrame:
     """(case, cited_relevant): whether one of the items that an answer cites (case, item) is what the case expects; false where it cites none."""
-    found = rels.join(cited.select(case, item).distinct(), [case, item], "left_semi").filter("rel = 1").select(case).distinct().withColumn("_yes", F.lit(True))
+    found = rels.join(fresh(cited.select(case, item).distinct()), [case, item], "left_semi").filter("rel = 1").select(case).distinct().withColumn("_yes", F.lit(True))
     return rels.select(case).distinct().join(found, case, "left").select(case, F.coalesce("_yes", F.lit(False)).alias("cited_relevant"))
 
 

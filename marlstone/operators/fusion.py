@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators.retrieve import top_k
+from marlstone.operators.retrieve import few, top_k
 
 METHODS = ("rrf", "relative_score", "distribution")
 
@@ -111,7 +111,7 @@ def distinct_texts(ranked: DataFrame, texts: DataFrame, threshold: float = 0.9,
     if threshold >= 1:
         return ranked
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != ""))
-    held = ranked.join(texts.select(item, "text"), item).select(query, F.struct("rank", item, "score", words.alias("words")).alias("_x")).groupBy(query).agg(F.array_sort(F.collect_list("_x")).alias("_all"))
+    held = few(ranked).join(texts.select(item, "text"), item).select(query, F.struct("rank", item, "score", words.alias("words")).alias("_x")).groupBy(query).agg(F.array_sort(F.collect_list("_x")).alias("_all"))
     empty = F.slice(F.col("_all"), 1, 0)
 
     def step(kept, x):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.functions import vectors as V
 from marlstone.operators import answer, evaluate, fusion, retrieve
+from marlstone.plans.scratch import cut
 from marlstone.queries.base import Query, table, words
 
 DIM = 64
@@ -26,8 +27,8 @@ def questions(s, d):
 def lexical(s, d, k=20, stop=False):
     c = chunks(s, d)
     if stop:
-        return retrieve.bm25(retrieve.postings(c), retrieve.corpus_stats(c), retrieve.query_terms(questions(s, d), stop=True), k, k1=1.5, b=0.75, idf="plus_one", drop_not_positive=True)
-    return retrieve.bm25(retrieve.postings(c), retrieve.corpus_stats(c), retrieve.query_terms(questions(s, d)), k)
+        return retrieve.bm25_texts(c, retrieve.query_terms(questions(s, d), stop=True), k, k1=1.5, b=0.75, idf="plus_one", drop_not_positive=True)
+    return retrieve.bm25_texts(c, retrieve.query_terms(questions(s, d)), k)
 
 
 def dense(s, d, k=20):
@@ -155,9 +156,9 @@ def _averages(lexical: str, lx: str, n: str) -> str:
 _DIFF_SQL = f"WITH {_averages(_LEX, 'lx', 'a')}, {_averages(re.sub(r'\b(dt|st|po|tf|df|qt|sc|lx)\b', lambda m: m[1] + '2', _LEX_STOP), 'lx2', 'b')} SELECT metric, round(ma.value, 6) AS before, round(mb.value, 6) AS after, round(mb.value - ma.value, 6) AS change FROM ma JOIN mb USING (metric)"
 
 
-def rerank_scores(s, d):
+def rerank_scores(s, d, found=None):
     """The reranker's BM25 over each question's own candidates."""
-    c = lexical(s, d).join(chunks(s, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
+    c = retrieve.few(lexical(s, d) if found is None else found).join(chunks(s, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text")
     return fusion.lexical_scores(questions(s, d), c)
 
 
@@ -191,7 +192,7 @@ QUERIES: dict[str, Query] = {
     ),
     "lexical_rerank_scores": Query(lambda s, d: rerank_scores(s, d).withColumn("score", F.round("score", 6)), f"WITH {_RERANK_CTE} SELECT query_id, chunk_id, round(sc, 6) AS score FROM ra"),
     "rerank_head": Query(
-        lambda s, d: fusion.rerank(lexical(s, d), rerank_scores(s, d).withColumn("score", F.round("score", 9)), 8, 0.75).withColumn("score", F.round("score", 6)),
+        lambda s, d: fusion.rerank(found := lexical(s, d), rerank_scores(s, d, found).withColumn("score", F.round("score", 9)), 8, 0.75).withColumn("score", F.round("score", 6)),
         f"""WITH {_RERANK_CTE}, hd AS (SELECT query_id, chunk_id, round(0.75::DOUBLE * CASE WHEN max(round(sc, 9)) OVER w = min(round(sc, 9)) OVER w THEN 1 ELSE (round(sc, 9) - min(round(sc, 9)) OVER w) / (max(round(sc, 9)) OVER w - min(round(sc, 9)) OVER w) END + 0.25::DOUBLE * CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 12) AS s FROM ra WHERE rank <= 8 WINDOW w AS (PARTITION BY query_id))
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank, chunk_id, round(s, 6) AS score FROM hd UNION ALL SELECT query_id, rank, chunk_id, round(score, 6) FROM lx WHERE rank > 8""",
     ),
@@ -214,7 +215,7 @@ QUERIES: dict[str, Query] = {
         lambda s, d: evaluate.per_case(judged(s, d), (5,), judged(s, d).groupBy("case_id").agg(F.sum("rel").alias("total")).withColumn("total", F.when(F.pmod("case_id", F.lit(5)) != 0, F.col("total") + F.pmod("case_id", F.lit(3)))).filter("total IS NOT NULL")).select("case_id", F.round("recall_5", 6).alias("recall_5")),
         f"WITH {_JUDGED} SELECT case_id, round(CASE WHEN case_id % 5 = 0 THEN max(CASE WHEN rank <= 5 THEN rel END)::DOUBLE WHEN sum(rel) + case_id % 3 = 0 THEN 0 ELSE least(1, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END)::DOUBLE / (sum(rel) + case_id % 3)) END, 6) AS recall_5 FROM j GROUP BY case_id",
     ),
-    "cited_relevant": Query(lambda s, d: evaluate.cited_relevant(judged(s, d), judged(s, d).filter("rank <= 2").select("case_id", "chunk_id")), f"WITH {_JUDGED} SELECT case_id, coalesce(max(CASE WHEN rank <= 2 THEN rel END), 0) = 1 AS cited_relevant FROM j GROUP BY 1"),
+    "cited_relevant": Query(lambda s, d: evaluate.cited_relevant(j := cut(judged(s, d), "judged"), j.filter("rank <= 2").select("case_id", "chunk_id")), f"WITH {_JUDGED} SELECT case_id, coalesce(max(CASE WHEN rank <= 2 THEN rel END), 0) = 1 AS cited_relevant FROM j GROUP BY 1"),
     "zero_weight_lists": Query(
         lambda s, d: fusion.fuse(hits(s, d).withColumn("weight", F.when(F.col("source") == "dense", 0.0).otherwise(2.0)), "rrf", 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")),
         f"WITH {_LEX} SELECT query_id, rank, chunk_id, round(2.0::DOUBLE / (60 + rank), 6) AS score FROM lx WHERE rank <= 5",

@@ -1,6 +1,7 @@
 """Operators on small tables, and what runs on the driver."""
 
 import json
+import re
 import sqlite3
 import threading
 import time
@@ -409,3 +410,42 @@ def test_order_and_cycle_over_sets(spark, monkeypatch):
     assert got == {g: w[0] for g, w in want.items() if w[0]}
     cycles = {r["graph_id"]: r["cycle"] for r in graph.find_cycle(edges).collect()}
     assert cycles == {g: w[1] for g, w in want.items()} and sum(c is not None for c in cycles.values()) > 10
+
+
+def test_lexical_search_in_slices(spark, monkeypatch):
+    import math
+
+    texts = [(i, ["red fox, red den", "fox", "", None, "Blue_1 sky!", "red fox, red den", "the den of the fox", "sky sky sky"][i % 8]) for i in range(48)]
+    asked = {"p": "red fox fox", "q": "sky den", "r": "nothing here", "s": "fox"}
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    terms = retrieve.query_terms(spark.createDataFrame(list(asked.items()), "query_id string, query string"))
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 2)
+    monkeypatch.setattr(retrieve, "MATRIX", 256 * 5)  # five texts at once
+    words = {i: [w for w in re.split(r"[^\w]+", t.lower()) if w] for i, t in texts if t is not None}
+    avg = sum(map(len, words.values())) / len(words)
+    for idf, weight in (("clamped", lambda o: max(math.log(o), 1e-6)), ("plus_one", lambda o: math.log(1 + o))):
+        want = []
+        for q, said in asked.items():
+            scores: dict = {}
+            for term in said.split():
+                df = sum(term in ws for ws in words.values())
+                for i, ws in words.items():
+                    if n := ws.count(term):
+                        scores[i] = scores.get(i, 0) + weight((len(texts) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / avg))
+            want += [(q, k + 1, i, round(s, 6)) for k, (i, s) in enumerate(sorted(((i, round(s, 9)) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:7])]
+        for found in (retrieve.bm25_texts(chunks, terms, 7, idf=idf), retrieve.bm25(retrieve.postings(chunks), retrieve.corpus_stats(chunks), terms, 7, idf=idf), retrieve.bm25(retrieve.with_frequency(retrieve.postings(chunks)), retrieve.corpus_stats(chunks), terms, 7, idf=idf)):
+            assert sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in found.collect()) == want
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # searched once, whatever asks for it
+
+
+def test_few_rows_go_to_the_texts(spark):
+    texts = spark.range(1000).select(F.col("id").alias("chunk_id"), F.lit("some words").alias("text"), F.lit("d").alias("doc_id"), F.array(F.lit(1)).alias("pages"))
+    hits = spark.range(3).select(F.lit(1).alias("case_id"), (F.col("id") + 1).cast("int").alias("rank"), F.col("id").alias("chunk_id")).repartition(3)
+    cases = spark.createDataFrame([(1, ["Some  words"], [], [])], "case_id int, expected_snippets array<string>, expected_doc_ids array<string>, expected_pages array<int>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = evaluate.judge(hits, cases, texts)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and [r["rel"] for r in got.collect()] == [1, 1, 1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
