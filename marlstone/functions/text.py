@@ -6,19 +6,22 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOPWORDS = tuple(sorted(set("a about all and any are been boy but can could day did do does doing done for from get had has have her him his how into its long man many may men more most much new not now old one only our out own put same say see she should some such take taken takes taking than that the them then there these they this those too two use very was were what when where which who why will with would you your yours".split()) - {"a", "were"}))
+#: Texts of a batch that are Python objects at once.
+SLICE = 64
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]"
 
 
 def normalise_text(keep_lines: bool = False):
-    """A pandas UDF: NFKC, then invisible characters go, then white space runs become one space (within each line, with keep_lines)."""
+    """An Arrow UDF: NFKC, then invisible characters go, then white space runs become one space (within each line, with keep_lines). Of a batch, SLICE texts at a time are Python's."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
         drop = dict.fromkeys(map(ord, _INVISIBLE))
 
         def one(text: str | None) -> str | None:
@@ -27,7 +30,7 @@ def normalise_text(keep_lines: bool = False):
             text = unicodedata.normalize("NFKC", text).translate(drop)
             return "\n".join(" ".join(x.split()) for x in text.splitlines()) if keep_lines else " ".join(text.split())
 
-        return texts.map(one, na_action="ignore")
+        return pa.concat_arrays([pa.array([one(t) for t in texts.slice(at, SLICE).to_pylist()], pa.string()) for at in range(0, max(1, len(texts)), SLICE)])
 
     return run
 

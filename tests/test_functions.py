@@ -146,3 +146,33 @@ def test_alignments_together():
 def test_linkage_of_a_large_component():
     chain = {(i, i + 1): 0.95 if i % 2 == 0 else 0.9 for i in range(7999)}  # 8,000 records: a matrix of them would be merged 4,000 times
     assert linkage.average_linkage(range(8000), chain, 0.9) == [[i, i + 1] for i in range(0, 8000, 2)]
+
+
+def test_fitting_looks_at_each_word_once(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("aB1,.漢字가é_-²Ⅷ") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(2, 60)))
+        cfg = chunk.ChunkConfig(max_tokens=rng.choice([16, 20, 40]))
+        assert chunk._fit(text, cfg, chunk.estimate_tokens) == chunk._fit(text, cfg, lambda t: chunk.estimate_tokens(t))
+    seen, real = [], chunk._EAST
+
+    class Tally:
+        def subn(self, by, text):
+            seen.append(len(text))
+            return real.subn(by, text)
+
+    monkeypatch.setattr(chunk, "_EAST", Tally())
+    text = " ".join(f"word{i}" for i in range(5000))
+    assert len(chunk._fit(text, chunk.ChunkConfig(), chunk.estimate_tokens)) > 5 and sum(seen) <= 2 * len(text)
+
+
+def test_normalised_in_slices():
+    import pyarrow as pa
+
+    from marlstone.functions import text as T
+
+    texts = [None, " a \n b", "ﬁ​x", ""] * (T.SLICE // 2)
+    assert T.normalise_text().func(pa.array(texts)).to_pylist() == [None, "a b", "fix", ""] * (T.SLICE // 2)
+    assert T.normalise_text(True).func(pa.array(texts[1:2])).to_pylist() == ["a\nb"] and T.normalise_text().func(pa.array([], pa.string())).to_pylist() == []
